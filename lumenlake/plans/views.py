@@ -96,7 +96,7 @@ class Library:
     @property
     def srch(self) -> DataFrame:
         """Searches: the event type in mixed case with stray blanks, plus its property value."""
-        value = F.get_json_object("props", "$.k")
+        value = F.regexp_extract("props", "[0-9]+", 0)
         spelled = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
         return self.table("events").select(
             "event_id", "user_id", "ts", F.concat(F.lit("  "), spelled, F.lit(" "), value, F.lit(" ")).alias("text")
@@ -133,7 +133,7 @@ VIEW_SQL = {
     "srch": """
         SELECT event_id, user_id, ts,
                '  ' || CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || ' '
-                    || json_extract_string(props, '$.k') || ' ' AS text
+                    || regexp_extract(props, '[0-9]+') || ' ' AS text
         FROM events""",
     "knn": """
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id) AS INTEGER) AS rank,
