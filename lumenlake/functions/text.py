@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -55,29 +56,41 @@ def like_wildcard(c: str | Column, query: str) -> Column:
     return F.coalesce(ascii_fold(c).like(pattern), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StringType())
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+def _ascii_or(c: str | Column, in_ascii, udf) -> Column:
+    """Built-in expression for pure ASCII text; only other texts are sent to Python."""
+    c = _col(c)
+    is_ascii = c.rlike("^\\p{ASCII}*$")
+    return F.coalesce(F.when(is_ascii, in_ascii(c)), udf(F.when(~is_ascii, c)))
+
+
 def casefold(c: str | Column) -> Column:
     """Unicode casefold; Spark has no built-in for it."""
-    return _casefold(_col(c))
+    return _ascii_or(c, F.lower, _casefold)
 
 
 def collision_key(c: str | Column) -> Column:
     """NFC + casefold key under which two file names collide (F2)."""
-    return _nfc_casefold(_col(c))
+    return _ascii_or(c, F.lower, _nfc_casefold)
+
+
+def nfc(c: str | Column) -> Column:
+    """Unicode NFC form."""
+    return _ascii_or(c, lambda v: v, _nfc)
 
 
 def contains_casefold(c: str | Column, query: str) -> Column:

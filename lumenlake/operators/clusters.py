@@ -40,7 +40,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         .unionByName(pairs.select("threshold", F.col("b").alias("node"), F.col("a").alias("other")))
     )
     labels = cut_lineage(
-        edges.groupBy("threshold", "node").agg(F.least(F.first("node"), F.min("other")).alias("label"))
+        edges.groupBy("threshold", "node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     )
     for _ in range(max_rounds):
         offered = edges.join(labels.select("threshold", F.col("node").alias("other"), "label"), ["threshold", "other"]).select("threshold", "node", "label")

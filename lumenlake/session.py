@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors that do not share the driver's files this package as a zip."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_lumenlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lumenlake"), "zip", root, "lumenlake"))
+    sc._lumenlake_shipped = True
