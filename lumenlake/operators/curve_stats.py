@@ -123,7 +123,7 @@ def compare_methods(results: DataFrame) -> DataFrame:
     label = bucket_of("count", METHOD_BUCKETS)
     return tally.groupBy("method").agg(
         F.round(F.sum(F.col("count") * F.col("n")) / F.sum("n"), 2).alias("mean"),
-        F.floor(F.percentile("count", 0.5, "n")).cast("int").alias("median"),
+        F.floor(F.percentile("count", 0.5, F.col("n"))).cast("int").alias("median"),
         F.min("count").alias("min"),
         F.max("count").alias("max"),
         *[F.sum(F.when(label == b[0], F.col("n")).otherwise(0)).alias(f"bucket_{b[0]}") for b in METHOD_BUCKETS],
@@ -140,8 +140,8 @@ def cluster_statistics(clusters: DataFrame, floors: Sequence[float] = CLUSTER_FL
     stats = tally.groupBy("threshold").agg(
         F.sum("n").alias("clusters"),
         F.sum(F.col("size") * F.col("n")).alias("members"),
-        F.floor(F.percentile("size", 0.5, "n")).cast("long").alias("median_size"),
-        F.floor(F.percentile("size", 0.9, "n")).cast("long").alias("p90_size"),
+        F.floor(F.percentile("size", 0.5, F.col("n"))).cast("long").alias("median_size"),
+        F.floor(F.percentile("size", 0.9, F.col("n"))).cast("long").alias("p90_size"),
         F.max("size").alias("max_size"),
         F.sum(F.when(F.col("size") >= 5, F.col("n")).otherwise(0)).alias("size_ge_5"),
     )
