@@ -1 +1,367 @@
+"""Registered queries: files, merge, maintenance, export, enrichment, history and streams."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from lumenlake.functions import names
+from lumenlake.operators import enrich, export, history, ingest, maintain, merge
+from lumenlake.plans.registry import query
+from lumenlake.session import checkpoint_dir
+from lumenlake.sources import backup, files
+from lumenlake.streaming import history as history_stream
+from lumenlake.streaming import imports as import_stream
+
+
+def _scratch(lib) -> str:
+    """A new folder beside the session's checkpoints, which every executor can reach."""
+    return f"{checkpoint_dir(lib.spark)}/run-{uuid.uuid4().hex}"
+
+
+def _doc_files(lib):
+    """One stored file per distinct text: (hash, lang, source, content) of its first document."""
+    docs = lib.table("documents").withColumn("hash", F.sha1(F.col("text").cast("binary")))
+    return ingest.first_occurrences(docs, "hash", "doc_id").withColumn("content", F.col("text").cast("binary"))
+
+
+_FIRST = "first_doc AS (SELECT sha1(text) AS hash, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, min(doc_id) AS doc_id FROM documents GROUP BY 1)"
+
+
+@query("a4_file_profiles", "", """
+    SELECT 'dir/' || doc_id || '.txt' AS path, doc_id || '.txt' AS original_file_name, octet_length(encode(text)) AS file_size, sha1(text) AS hash,
+           CASE WHEN starts_with(text, 'BM') THEN '.bmp' END AS extension,
+           CASE WHEN NOT starts_with(text, 'BM') THEN 'unknown image format: dir/' || doc_id || '.txt' END AS error FROM documents""")
+def _(lib):
+    path = F.concat(F.lit("dir/"), "doc_id", F.lit(".txt"))
+    return files.file_profiles(lib.table("documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")))
+
+
+@query("a5_blob_entities", "txt", """
+    SELECT hash, lower(extension) AS extension FROM txt JOIN documents ON doc_id = id WHERE lang = 'en'""")
+def _(lib):
+    docs = lib.table("documents").select(F.col("doc_id").alias("id"), "lang")
+    folder = F.when(F.col("lang") == "en", F.substring("hash", 1, 2)).otherwise(F.lit("zz"))
+    path = F.concat_ws("/", F.lit("blobs"), folder, F.concat("hash", F.lower("extension")))
+    return names.blob_entities(lib.txt.join(docs, "id").select(path.alias("path"))).select("hash", "extension")
+
+
+@query("a6_image_problems", "txt", """
+    SELECT id AS position, CASE WHEN lang = 'fr' THEN 'path' WHEN lang = 'es' THEN 'hash' ELSE 'imported_at' END AS problem
+    FROM txt JOIN documents ON doc_id = id WHERE lang <> 'en'""")
+def _(lib):
+    docs = lib.table("documents")
+    records = docs.select(
+        F.col("doc_id").alias("position"),
+        F.concat(F.when(F.col("lang") == "fr", F.lit("set_0/")).otherwise(F.lit("set_1/")), "source").alias("path"),
+        F.when(F.col("lang") == "es", F.md5(F.col("text").cast("binary"))).otherwise(F.sha1(F.col("text").cast("binary"))).alias("hash"),
+        F.array("lang").alias("tags"),
+        F.when(F.col("lang") == "de", F.lit("2026-13-01T00:00:00Z")).otherwise(F.lit("2026-01-01T00:00:00Z")).alias("imported_at"),
+        F.lit("2026-01-01T08:00:00").alias("modification_date"),
+    )
+    return backup.image_problems(records).withColumn("position", F.col("position"))
+
+
+@query("a6_tag_problems", "", """
+    SELECT position, CASE WHEN p_size > 40 THEN 'rgb' ELSE 'order' END AS problem
+    FROM (SELECT min(p_partkey) AS position, arg_min(p_size, p_partkey) AS p_size FROM part GROUP BY p_name) WHERE p_size > 40 OR p_size < 10""")
+def _(lib):
+    records = lib.table("part").select(
+        F.col("p_partkey").alias("position"), F.col("p_name").alias("name"),
+        F.when(F.col("p_size") > 40, F.lit("#12345")).otherwise(F.lit("#12aBcD")).alias("rgb"),
+        F.when(F.col("p_size") < 10, F.lit("-1")).otherwise(F.col("p_size").cast("string")).alias("order"),
+        F.lit("true").alias("enabled"), F.lit(None).cast("string").alias("description"),
+    )
+    return backup.tag_problems(records)
+
+
+def _export_images(lib):
+    return lib.txt.withColumn("imported_at", F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")).withColumn(
+        "modification_date", F.col("imported_at")
+    )
+
+
+_SETS = """sized AS (SELECT *, count(*) OVER (PARTITION BY lower(original_file_name)) AS size FROM txt),
+    sets AS (SELECT greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT), max(size)) AS s FROM sized),
+    dealt AS (SELECT *, (row_number() OVER (ORDER BY size DESC, lower(original_file_name), original_file_name, hash, id) - 1) % (SELECT s FROM sets) AS set_index FROM sized)"""
+
+
+@query("w15_export_sets", "txt", f", {_SETS} SELECT id, set_index, 'set_' || (set_index + 1) || '/' || original_file_name AS relative_path FROM dealt")
+def _(lib):
+    return export.assign_sets(lib.txt, max_files_per_set=10).select("id", "set_index", "relative_path")
+
+
+@query("a7_backup_round_trip", "txt", f""", {_SETS}
+    SELECT 'set_' || (set_index + 1) || '/' || original_file_name AS path, hash, TIMESTAMP '2026-01-02 03:04:05' AS imported_at, text_in_image,
+           'untagged,' || split_part(original_file_name, '_', 1) AS tags FROM dealt""")
+def _(lib):
+    planned = export.assign_sets(_export_images(lib), max_files_per_set=10)
+    source = F.split("original_file_name", "_")[0]
+    tagged = export.sort_tag_names(planned.withColumn("tag_names", F.array(source, F.lit("untagged"))), lib.tag.select(F.lit(0).cast("long").alias("id"), F.lit("untagged").alias("name"), F.lit(0).alias("order")).distinct())
+    entries = export.image_entries(tagged.withColumn("tag_names", F.col("sorted_names")))
+    folder = _scratch(lib)
+    backup.write_backup(entries, export.tag_entries(lib.tag.withColumn("description", F.lit(None).cast("string"))), folder)
+    images, _ = backup.read_backup_tables(lib.spark, folder)
+    return images.select("path", "hash", "imported_at", "text_in_image", F.array_join("tag_names", ",").alias("tags"))
+
+
+@query("e6_sorted_tag_names", "tag", """,
+    asked AS (SELECT DISTINCT doc_id AS id, unnest(['Brand#' || (doc_id % 30), lang, 'Brand#3']) AS name FROM documents)
+    SELECT a.id, string_agg(a.name, ',' ORDER BY t.id IS NULL, coalesce(t."order", 0), coalesce(t.id, 0), lower(a.name)) AS names
+    FROM asked a LEFT JOIN tag t USING (name) GROUP BY a.id""")
+def _(lib):
+    asked = F.array(F.concat(F.lit("Brand#"), F.col("doc_id") % 30), F.col("lang"), F.lit("Brand#3"))
+    rows = lib.table("documents").select(F.col("doc_id").alias("id"), asked.alias("tag_names"))
+    return export.sort_tag_names(rows, lib.tag).select("id", F.array_join("sorted_names", ",").alias("names"))
+
+
+@query("a7_tag_entries", "tag", 'SELECT name, color_rgb AS rgb, "order", CAST(NULL AS VARCHAR) AS description, enabled FROM tag')
+def _(lib):
+    return export.tag_entries(lib.tag.withColumn("description", F.lit(None).cast("string")))
+
+
+@query("e6_ordered_tag_names", "img tag img_tag", """
+    SELECT i.id, coalesce(string_agg(t.name, ',' ORDER BY t."order", t.id), '') AS names
+    FROM img i LEFT JOIN (SELECT DISTINCT * FROM img_tag) l ON l.image_id = i.id LEFT JOIN tag t ON t.id = l.tag_id GROUP BY i.id""")
+def _(lib):
+    return export.ordered_tag_names(lib.img, lib.tag, lib.img_tag).select("id", F.array_join("tag_names", ",").alias("names"))
+
+
+@query("d16_duplicate_names", "txt", "SELECT lower(original_file_name) AS name_key, count(*) AS n FROM txt GROUP BY 1 HAVING count(*) > 1")
+def _(lib):
+    return export.duplicate_names(lib.txt)
+
+
+@query("f5_unsafe_names", "", "SELECT page_id AS id, url AS original_file_name FROM pages WHERE contains(url, '/')")
+def _(lib):
+    return export.unsafe_names(lib.table("pages").select(F.col("page_id").alias("id"), F.col("url").alias("original_file_name")))
+
+
+@query("a11_blobs_to_store", "blob", """
+    SELECT DISTINCT sha1(text) AS hash, '.txt' AS extension, left(sha1(text), 2) || '/' || sha1(text) || '.txt' AS key
+    FROM documents WHERE upper(sha1(text)) NOT IN (SELECT hash FROM blob)""")
+def _(lib):
+    given = F.when(F.col("lang") == "fr", F.lit("short")).otherwise(F.sha1(F.col("text").cast("binary")))
+    offered = lib.table("documents").select(given.alias("hash"), F.col("text").cast("binary").alias("content"), F.lit(" .TXT").alias("extension"))
+    return files.blobs_to_store(offered, lib.blob.withColumn("hash", F.lower("hash")))
+
+
+@query("a12_recycle_rows", "txt blob", """
+    SELECT hash, extension, '2026-01-' || lpad(CAST(d AS VARCHAR), 2, '0') AS deleted_at, original_file_name
+    FROM (SELECT *, id % 28 + 1 AS d, row_number() OVER (PARTITION BY hash ORDER BY id % 28 + 1 DESC, id DESC) AS k FROM txt)
+    WHERE k = 1 AND upper(hash) IN (SELECT hash FROM blob)""")
+def _(lib):
+    deleted_at = F.concat(F.lit("2026-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"))
+    deleted = _export_images(lib).withColumn("deleted_at", deleted_at).withColumn("tag_names", F.array(F.lit("a")))
+    rows = backup.recycle_rows(deleted, lib.blob)
+    read = [F.get_json_object("sidecar", f"$.{f}").alias(f) for f in ("deleted_at", "original_file_name")]
+    return rows.select("hash", "extension", *read)
+
+
+@query("a13_integrity_violations", "txt", f""", {_FIRST}
+    SELECT t.id, t.hash, CASE WHEN f.source <> 'src7' THEN sha1(d.text || 'x') END AS actual_hash
+    FROM txt t JOIN documents d ON d.doc_id = t.id JOIN first_doc f ON f.hash = t.hash WHERE f.lang = 'es' OR f.source = 'src7'""")
+def _(lib):
+    stored = _doc_files(lib).where("source <> 'src7'")
+    content = F.when(F.col("lang") == "es", F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary")
+    return export.integrity_violations(lib.txt, stored.select("hash", content.alias("content")))
+
+
+_EXPECTED_DAMAGE = "source = 'src7' OR lang = 'es'"
+
+
+def _backup_images(lib):
+    docs = lib.table("documents")
+    tags = F.when(F.col("lang") == "fr", F.array().cast("array<string>")).otherwise(F.array("lang", F.lit("Brand#1"), "source"))
+    return docs.select(
+        F.sha1(F.col("text").cast("binary")).alias("hash"), F.col("doc_id").alias("position"),
+        F.concat(F.lit("set_1/"), "doc_id", F.lit(".txt")).alias("path"), F.col("n_chars").alias("file_size"), tags.alias("tag_names"),
+    )
+
+
+def _backup_files(lib):
+    """Files beside the backup: one source is missing, one language is damaged."""
+    actual = F.when(F.col("lang") == "es", F.sha1(F.lit(b"x"))).otherwise(F.upper(F.sha1(F.col("text").cast("binary"))))
+    return lib.table("documents").where("source <> 'src7'").select(
+        F.concat(F.lit("set_1/"), "doc_id", F.lit(".txt")).alias("path"), actual.alias("actual_hash")
+    )
+
+
+_BACKUP = """backup AS (SELECT sha1(text) AS hash, doc_id AS position, CASE WHEN lang = 'fr' THEN [] ELSE [lang, 'Brand#1', source] END AS tag_names FROM documents)"""
+
+
+@query("d15_dedupe_backup", "", f"""WITH {_BACKUP},
+    named AS (SELECT hash, position, unnest(tag_names) AS name, generate_subscripts(tag_names, 1) AS slot FROM backup),
+    seen AS (SELECT hash, name, min((position, slot)) AS seen FROM named GROUP BY 1, 2)
+    SELECT hash, min(position) AS position, coalesce((SELECT string_agg(name, ',' ORDER BY seen) FROM seen s WHERE s.hash = b.hash), '') AS tags
+    FROM backup b GROUP BY hash""")
+def _(lib):
+    return merge.dedupe_backup(_backup_images(lib)).select("hash", "position", F.array_join("tag_names", ",").alias("tags"))
+
+
+@query("c11_resolve_tags", "tag", f", {_BACKUP} SELECT DISTINCT hash, id AS tag_id FROM (SELECT hash, unnest(tag_names) AS name FROM backup) JOIN tag USING (name)")
+def _(lib):
+    return merge.resolve_tags(_backup_images(lib), lib.tag)
+
+
+@query("c15_damage_check", "", f"SELECT doc_id AS position, {_EXPECTED_DAMAGE} AS damaged FROM documents")
+def _(lib):
+    return merge.damage_check(_backup_images(lib), _backup_files(lib)).select("position", "damaged")
+
+
+_MERGE = f""", {_FIRST},
+    known AS (SELECT hash, min(doc_id) AS id FROM (SELECT sha1(text) AS hash, doc_id, source FROM documents) WHERE length(source) = 4 GROUP BY hash),
+    tagged AS (SELECT DISTINCT sha1(text) AS hash FROM documents WHERE lang <> 'fr'),
+    outcome AS (SELECT hash, CASE WHEN source = 'src7' OR lang = 'es' THEN 'damaged' WHEN hash NOT IN (SELECT hash FROM known) THEN 'added'
+                             WHEN hash IN (SELECT hash FROM tagged) THEN 'merged' ELSE 'unchanged' END AS outcome FROM first_doc)"""
+
+
+def _merged(lib):
+    docs = lib.table("documents").where(F.length("source") == 4)
+    stored = docs.select(F.sha1(F.col("text").cast("binary")).alias("hash"), F.col("doc_id").alias("id"), F.col("n_chars").alias("file_size"))
+    images = ingest.first_occurrences(stored, "hash", "id")
+    tag_records = lib.table("documents").groupBy(F.col("lang").alias("name")).agg(F.min("doc_id").alias("position")).withColumn("order", F.lit(7))
+    return images, merge.merge_library(images, lib.tag, lib.img_tag.where(F.lit(False)), _backup_images(lib), tag_records, _backup_files(lib))
+
+
+@query("m16_merge_outcomes", "txt", f"{_MERGE} SELECT hash, outcome FROM outcome")
+def _(lib):
+    return _merged(lib)[1].outcomes.select("hash", "outcome")
+
+
+@query("m16_merged_images", "txt", f"""{_MERGE},
+    new AS (SELECT f.hash, row_number() OVER (ORDER BY doc_id) + (SELECT max(id) FROM known) AS id FROM first_doc f JOIN outcome USING (hash) WHERE outcome = 'added')
+    SELECT id, hash FROM known UNION ALL SELECT id, hash FROM new""")
+def _(lib):
+    return _merged(lib)[1].images.select("id", "hash")
+
+
+@query("c6_orphan_blobs", "txt blob", "SELECT hash, extension FROM blob WHERE lower(hash) NOT IN (SELECT hash FROM txt)")
+def _(lib):
+    return maintain.orphan_blobs(lib.blob, lib.txt)
+
+
+def _linked_images(lib):
+    """Documents as images: English linked rightly, French to a neighbour's vector, the rest unlinked."""
+    link = F.when(F.col("lang") == "en", F.concat(F.lit("v"), "id")).when(F.col("lang") == "fr", F.concat(F.lit("v"), F.col("id") + 1))
+    langs = lib.table("documents").select(F.col("doc_id").alias("id"), "lang")
+    return lib.txt.join(langs, "id").withColumn("vector_id", link).drop("lang")
+
+
+_PLAN = """, plan AS (
+    SELECT t.id, CASE WHEN v.vector_id IS NULL THEN CASE WHEN upper(t.hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END
+                      WHEN lang = 'en' THEN 'skipped' ELSE 'relink' END AS action, v.vector_id, text_in_image
+    FROM txt t JOIN documents ON doc_id = t.id LEFT JOIN vec v ON v.image_id = t.id)"""
+
+
+@query("c7_vector_plan", "txt blob vec", f"{_PLAN} SELECT id, action, vector_id FROM plan")
+def _(lib):
+    return maintain.vector_plan(_linked_images(lib), lib.vec, lib.blob)
+
+
+@query("c7_vector_plan_one_model", "txt blob vec", """
+    SELECT t.id, CASE WHEN v.vector_id IS NULL THEN CASE WHEN upper(t.hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END
+                      WHEN lang = 'en' THEN 'skipped' ELSE 'relink' END AS action, v.vector_id
+    FROM txt t JOIN documents ON doc_id = t.id LEFT JOIN vec v ON v.image_id = t.id AND v.model_hash = 'm1'""")
+def _(lib):
+    return maintain.vector_plan(_linked_images(lib), lib.vec, lib.blob, maintain.MaintenanceOptions(match_model="m1"))
+
+
+@query("m17_d21_maintenance_plan", "txt blob vec", f"""{_PLAN}
+    SELECT 'vectors' AS task, action, count(*) AS n FROM plan GROUP BY 2
+    UNION ALL SELECT 'text', CASE WHEN upper(hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END, count(*) FROM txt WHERE text_in_image IS NULL GROUP BY 2
+    UNION ALL SELECT 'blobs', 'delete', count(*) FROM blob WHERE lower(hash) NOT IN (SELECT hash FROM txt)""")
+def _(lib):
+    return maintain.maintenance_plan(_linked_images(lib), lib.vec, lib.blob)
+
+
+@query("m17_regenerate_all", "txt blob", """
+    SELECT 'vectors' AS task, CASE WHEN upper(hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END AS action, count(*) AS n FROM txt GROUP BY 2""")
+def _(lib):
+    options = maintain.MaintenanceOptions(delete_orphan_blobs=False, extract_text=False, scope="all")
+    return maintain.maintenance_plan(_linked_images(lib), lib.vec, lib.blob, options)
+
+
+def _measure(text):
+    if len(text) > 3000:
+        raise ValueError("too long")
+    return len(text)
+
+
+def _double(lengths, offset):
+    return [2 * n + offset for n in lengths]
+
+
+def _enriched(lib):
+    stages = [enrich.ItemStage("measure", _measure), enrich.BatchStage("double", _double, batch_size=16, setup=lambda: 1)]
+    return enrich.run_stages(lib.table("documents").select("doc_id", "text"), "doc_id", "text", stages, "long")
+
+
+@query("h1_enrichment", "", """
+    SELECT doc_id, CASE WHEN length(text) <= 3000 THEN 2 * length(text) + 1 END AS value,
+           CASE WHEN length(text) > 3000 THEN 'ValueError: too long' END AS error, CASE WHEN length(text) > 3000 THEN 'measure' END AS stage FROM documents""")
+def _(lib):
+    return _enriched(lib)
+
+
+@query("d18_job_summary", "", """
+    SELECT count(*) AS completed, count(*) FILTER (length(text) <= 3000) AS succeeded, count(*) FILTER (length(text) > 3000) AS failed FROM documents""")
+def _(lib):
+    return enrich.job_summary(_enriched(lib))
+
+
+@query("c13_map_results", "", """
+    SELECT 'p' || doc_id AS path, CASE WHEN lang <> 'es' THEN doc_id END AS id,
+           CASE WHEN lang = 'es' THEN 'unmapped' WHEN length(text) > 3000 THEN 'failed' ELSE 'updated' END AS outcome,
+           CASE WHEN lang = 'es' THEN 'p' || doc_id || ': no image for this result'
+                WHEN length(text) > 3000 THEN source || '_' || lang || '.txt: ValueError: too long' END AS message FROM documents""")
+def _(lib):
+    results = _enriched(lib).withColumn("path", F.concat(F.lit("p"), "doc_id"))
+    images = lib.txt.where(~F.col("original_file_name").endswith("_es.txt")).withColumn("path", F.concat(F.lit("p"), "id"))
+    return maintain.map_results(results, images).select("path", "id", "outcome", "message")
+
+
+@query("h2_model_dimension", "vec", "SELECT model_hash, 64 AS dimension, count(*) AS n FROM vec GROUP BY 1")
+def _(lib):
+    """Vectors whose size is not that of a registered model, by model."""
+    sizes = lib.vec.groupBy("model_hash", F.size("vector").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(F.broadcast(enrich.model_table(lib.spark).select("dimension")), "dimension", "left_anti").select("model_hash", "dimension", "n")
+
+
+_HISTORY = """,
+    spelled AS (SELECT user_id, lower(trim(text)) AS key, max((ts, event_id, trim(text))) AS m FROM srch GROUP BY 1, 2),
+    recent AS (SELECT user_id, m[3] AS text, CAST(row_number() OVER (PARTITION BY user_id ORDER BY m[1] DESC, m[2] DESC) AS INTEGER) AS position FROM spelled QUALIFY position <= 20)"""
+
+
+@query("w16_recent_searches", "srch", f"{_HISTORY} SELECT user_id, position, text FROM recent")
+def _(lib):
+    return history.recent_searches(lib.srch, keep=20).select("user_id", "position", "text")
+
+
+@query("e8_suggestions", "srch tag", f"""{_HISTORY},
+    hit AS (SELECT user_id, text, row_number() OVER (PARTITION BY user_id ORDER BY position) AS hit_position FROM recent WHERE contains(lower(text), 'r') QUALIFY hit_position <= 3)
+    SELECT user_id, 'recent' AS source, CAST(hit_position AS INTEGER) AS position, text AS title FROM hit
+    UNION ALL SELECT u.user_id, 'tag', t.position, t.name FROM (SELECT DISTINCT user_id FROM recent) u
+    CROSS JOIN (SELECT name, CAST(row_number() OVER (ORDER BY "order", id) AS INTEGER) AS position FROM tag WHERE enabled AND contains(lower(name), 'r') QUALIFY position <= 10) t""")
+def _(lib):
+    return history.suggestions(history.recent_searches(lib.srch, keep=20), lib.tag, " R ")
+
+
+@query("g1_stream_import", "", """
+    SELECT DISTINCT sha1(text) AS hash FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE length(source) = 4)""")
+def _(lib):
+    folder = _scratch(lib)
+    docs = lib.table("documents").select(F.sha1(F.col("text").cast("binary")).alias("hash"), F.col("doc_id").alias("position"), "source")
+    docs.repartitionByRange(4, "position").write.parquet(f"{folder}/incoming")
+    stream = lib.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+    library = docs.where(F.length("source") == 4).select("hash")
+    import_stream.start_import(stream, library, f"{folder}/library").awaitTermination()
+    return import_stream.imported(lib.spark, f"{folder}/library", docs.schema).select("hash")
+
+
+@query("g2_stream_history", "srch", f"{_HISTORY} SELECT user_id, position, text FROM recent")
+def _(lib):
+    folder = _scratch(lib)
+    lib.srch.repartitionByRange(4, "event_id").write.parquet(f"{folder}/incoming")
+    stream = lib.spark.readStream.schema(lib.srch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+    history_stream.start_history(stream, f"{folder}/history", keep=20).awaitTermination()
+    return history_stream.stored_history(lib.spark, f"{folder}/history", keep=20).select("user_id", "position", "text")

@@ -14,9 +14,10 @@ VECTOR = (
 )
 BLOB = "hash string, extension string, path string"
 
-# One JSON document; every value is read loosely and judged by the rules of the source.
+# Backup entries; every value is read as text and judged by the rules of the source.
+IMAGE_ENTRY = "path string, hash string, imported_at string, modification_date string, tags array<string>, text_in_image string"
+TAG_ENTRY = "name string, rgb string, `order` string, description string, enabled string"
 BACKUP = (
     "format_version string, hash_algorithm string, exported_at string, "
-    "images array<struct<path:string,hash:string,imported_at:string,modification_date:string,tags:array<string>,text_in_image:string>>, "
-    "tags array<struct<name:string,rgb:string,`order`:string,description:string,enabled:string>>"
+    f"images array<struct<{IMAGE_ENTRY}>>, tags array<struct<{TAG_ENTRY}>>"
 )

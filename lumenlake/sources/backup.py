@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions.names import from_iso8601, is_hash, is_rgb, is_set_path
 from lumenlake.operators.ordering import first_per_key
 from lumenlake.operators.tables import require_none
-from lumenlake.schemas import BACKUP
+from lumenlake.schemas import BACKUP, IMAGE_ENTRY, TAG_ENTRY
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +62,8 @@ def tag_problems(records: DataFrame) -> DataFrame:
     return judged.select("position", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def read_backup(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """(images, tags) of a backup; any broken rule rejects the whole file."""
-    document = read_document(spark, path)
-    require_none(header_problems(document), "backup rejected")
-    records, tag_records = document_images(document), document_tags(document)
+def checked_backup(records: DataFrame, tag_records: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """(images, tags) of backup records; any broken rule rejects all of them."""
     require_none(image_problems(records, zone), "backup images rejected")
     require_none(tag_problems(tag_records), "backup tags rejected")
     images = records.select(
@@ -85,6 +82,21 @@ def read_backup(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[Data
     return images, tags
 
 
+def read_backup(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """(images, tags) of a backup that is one JSON document."""
+    document = read_document(spark, path)
+    require_none(header_problems(document), "backup rejected")
+    return checked_backup(document_images(document), document_tags(document), zone)
+
+
+def read_backup_tables(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """(images, tags) of a backup written by `write_backup`; the entries are read in parallel."""
+    images = spark.read.schema(IMAGE_ENTRY).option("recursiveFileLookup", True).json(f"{path}/images")
+    tags = spark.read.schema(TAG_ENTRY).json(f"{path}/tags")
+    # Paths are unique, and so are tag names: either gives the entries an order.
+    return checked_backup(images.withColumn("position", F.col("path")), tags.withColumn("position", F.col("name")), zone)
+
+
 def write_backup(entries: DataFrame, tags: DataFrame, path: str) -> None:
     """Backup entries as JSON lines, images partitioned by set, tags beside them.
 
