@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators.curve_stats import CLUSTER_FLOORS
 from lumenlake.operators.ordering import skew_safe_lookup, with_global_index
-from lumenlake.session import cut_lineage
+from lumenlake.session import cut_lineage, drop_table, write_table
 
 
 def mutual_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
@@ -31,31 +31,38 @@ def mutual_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) ->
 def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(threshold, node, label): the smallest node of each component, for all thresholds at once.
 
-    Every round a node takes the smallest label among its neighbours, then the
-    label of its label. Neighbour lists are bounded by the top-k of the search;
-    only labels can become hot, so that lookup is split.
+    Every round the smallest label across an edge is taken over by the node and by
+    the label it had, then each node takes the label of its label, so whole trees
+    join and rounds grow with the logarithm of the component size. Neighbour lists
+    are bounded by the top-k of the search; only labels can become hot, so that
+    lookup is split.
     """
     edges = cut_lineage(
         pairs.select("threshold", F.col("a").alias("node"), F.col("b").alias("other"))
         .unionByName(pairs.select("threshold", F.col("b").alias("node"), F.col("a").alias("other")))
     )
-    labels = cut_lineage(
+    spark = pairs.sparkSession
+    labels, path = write_table(
         edges.groupBy("threshold", "node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     )
     for _ in range(max_rounds):
-        offered = edges.join(labels.select("threshold", F.col("node").alias("other"), "label"), ["threshold", "other"]).select("threshold", "node", "label")
+        near = edges.join(labels, ["threshold", "node"]).withColumnRenamed("label", "mine")
+        near = near.join(labels.select("threshold", F.col("node").alias("other"), "label"), ["threshold", "other"])
+        # A smaller label over an edge goes to the node and to the node's label.
+        offered = near.where("label < mine").select("threshold", F.explode(F.array("node", "mine")).alias("node"), "label")
         own = labels.withColumn("before", F.col("label"))
-        lowered = cut_lineage(
+        lowered, lowered_path = write_table(
             own.unionByName(offered.withColumn("before", F.lit(None).cast("long")))
             .groupBy("threshold", "node").agg(F.min("label").alias("label"), F.max("before").alias("before"))
         )
         sizes = lowered.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("n"))
         roots = lowered.select("threshold", F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = skew_safe_lookup(lowered, roots, ["threshold", "label"], "node", sizes, "n")
-        labels = cut_lineage(jumped.select("threshold", "node", F.col("root").alias("label"), "before"))
-        changed = labels.where("label <> before").limit(1).count()
-        labels = labels.drop("before")
-        if not changed:
+        after, after_path = write_table(jumped.select("threshold", "node", F.col("root").alias("label"), "before"))
+        drop_table(spark, path)
+        drop_table(spark, lowered_path)
+        labels, path = after.drop("before"), after_path
+        if not after.where("label <> before").limit(1).count():
             return labels
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
