@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators.ordering import newest_first
@@ -42,7 +42,7 @@ class TagPredicate:
         return self._combine(other, "OR")
 
     def __invert__(self) -> TagPredicate:
-        return TagPredicate(self.names, f"(NOT ({self.sql}))")
+        return TagPredicate(self.names, f"(! ({self.sql}))")
 
     def column(self) -> Column:
         return F.expr(self.sql)
@@ -54,8 +54,8 @@ def has_tag(name: str) -> TagPredicate:
 
 
 # The words and signs of the text form.
-_WORDS = {"and": " AND ", "or": " OR ", "not": " NOT "}
-_SIGNS = {"*": " AND ", "&": " AND ", "+": " OR ", "|": " OR ", "~": " NOT ", "!": " NOT ", "(": "(", ")": ")", "[": "(", "]": ")"}
+_WORDS = {"and": " AND ", "or": " OR ", "not": " ! "}
+_SIGNS = {"*": " AND ", "&": " AND ", "+": " OR ", "|": " OR ", "~": " ! ", "!": " ! ", "(": "(", ")": ")", "[": "(", "]": ")"}
 _CONSTANTS = ("true", "false", "none", "1", "0")
 _LEAF = re.compile(r'"((?:[^"]|"")*)"|([^\W_][\w.:]*|_[\w.:]*)|([*&+|~!()\[\]])|(\s+)|(.)', re.DOTALL)
 
@@ -84,12 +84,17 @@ def parse_tags(text: str) -> TagPredicate | None:
         raise TagExpressionError(f"unexpected {other!r}")
 
     sql = _LEAF.sub(rewrite, text)
-    # Spark would read a second name as an alias and a name before "(" as a call.
-    if re.search(r"[`)]\s*(`|\(|NOT\b)", re.sub(r"`t\d+`", "`", sql)):
-        raise TagExpressionError("an operator is missing between two names")
+    # Spark reads a second name as an alias, a name before "(" as a call, and a
+    # word without operands as a name; none of these is a tag expression.
+    shape = re.sub(r"`t\d+`", "`", sql)
+    if re.search(r"[`)]\s*[`(!]|(^|\(|AND|OR|!)\s*(AND|OR)|(AND|OR|!)\s*(\)|$)", shape):
+        raise TagExpressionError(f"a name or an operator is missing: {text!r}")
+    sql = f"({sql})"
+    flags = [F.lit(True).alias(f"t{i}") for i in range(len(names))]
     try:
-        F.expr(sql)
-    except ParseException as e:
+        # Analysed against an empty frame, so that a bad structure shows here.
+        SparkSession.active().range(0).select(*flags).where(F.expr(sql))
+    except (ParseException, AnalysisException) as e:
         raise TagExpressionError(f"not a tag expression: {text!r}") from e
     return TagPredicate(tuple(names), sql)
 
