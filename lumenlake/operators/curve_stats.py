@@ -45,17 +45,16 @@ def histogram(
     The grid of groups and classes is a literal list, so nothing is cross-joined.
     """
     spark = counts.sparkSession
-    keys = [group] if group else []
-    found = counts.groupBy(*keys, bucket_of(value, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("query_count"))
-    labels = [b[0] for b in buckets]
-    grid_rows = [(g, b) for g in groups for b in labels] if group else [(b,) for b in labels]
-    grid = spark.createDataFrame(grid_rows, ", ".join(f"{c} string" for c in [*keys, "bucket"]))
-    filled = F.broadcast(grid).join(found, [*keys, "bucket"], "left").withColumn("query_count", F.coalesce("query_count", F.lit(0)))
+    key = group or "_all"
+    if not group:
+        counts, groups = counts.withColumn(key, F.lit("")), ("",)
+    found = counts.groupBy(key, bucket_of(value, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("query_count"))
+    grid = spark.createDataFrame([(g, b[0]) for g in groups for b in buckets], f"{key} string, bucket string")
+    filled = F.broadcast(grid).join(found, [key, "bucket"], "left").withColumn("query_count", F.coalesce("query_count", F.lit(0)))
     # One row per class from here on.
-    totals = filled.groupBy(*keys).agg(F.sum("query_count").alias("_total"))
-    joined = filled.join(totals, keys) if keys else filled.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    joined = filled.join(filled.groupBy(key).agg(F.sum("query_count").alias("_total")), key)
     percent = F.when(F.col("_total") > 0, F.round(F.col("query_count") / F.col("_total") * 100, 2)).otherwise(F.lit(0.0))
-    return joined.select(*keys, "bucket", "query_count", percent.alias("percent"))
+    return joined.select(*([group] if group else []), "bucket", "query_count", percent.alias("percent"))
 
 
 def distribution_by_threshold(summary: DataFrame, floors: Sequence[str] = COUNT_FLOORS) -> DataFrame:
@@ -99,7 +98,7 @@ def _wide_quantiles(long: DataFrame, group: str, names: dict[float, str]) -> Dat
 
 def top1_statistics(summary: DataFrame) -> DataFrame:
     """Mean and percentiles of the best similarity of all queries."""
-    values = summary.where("candidate_count > 0").select(F.lit("top1").alias("metric"), F.col("top1_similarity").alias("v"), "query_id")
+    values = unpivot(summary.where("candidate_count > 0"), ["top1_similarity"], "metric", "v", keep=["query_id"])
     names = {0.05: "p5", 0.25: "p25", 0.50: "p50", 0.75: "p75", 0.95: "p95"}
     wide = _wide_quantiles(exact_quantiles(values, "metric", "v", "query_id", list(names)), "metric", names)
     mean = values.groupBy("metric").agg(F.avg("v").alias("mean"))

@@ -45,9 +45,13 @@ def outcome_counts(plan: DataFrame, outcome: str = "outcome") -> DataFrame:
 
 def assign_ids(rows: DataFrame, existing: DataFrame, order: list, id_col: str = "id") -> DataFrame:
     """Ids max+1, max+2, ... in `order`, without a single-task sort."""
-    top = F.broadcast(existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"), F.lit(1).alias("_one")))
-    numbered = with_global_index(rows, order, "_i").withColumn("_one", F.lit(1))
-    return numbered.join(top, "_one").withColumn(id_col, F.col("_top") + F.col("_i")).drop("_i", "_top", "_one")
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    return with_global_index(rows, order, "_i").withColumn(id_col, F.lit(top) + F.col("_i")).drop("_i")
+
+
+def largest_order(tags: DataFrame) -> int:
+    """Order given to new tags."""
+    return tags.agg(F.coalesce(F.max("order"), F.lit(0))).first()[0]
 
 
 def append_matching(table: DataFrame, extra: DataFrame) -> DataFrame:
@@ -73,8 +77,7 @@ def insert_images(
     named = fresh.select("id", position, F.posexplode("tag_names").alias("_at", "name"))
     unseen = named.groupBy("name").agg(F.min(F.struct(position, "_at")).alias("_first")).join(tags.select("name"), "name", "left_anti")
     created = assign_ids(unseen.select("name", F.col("_first.*")), tags, [position, "_at"])
-    top = F.broadcast(tags.agg(F.coalesce(F.max("order"), F.lit(0)).alias("order"), F.lit(1).alias("_one")))
-    created = created.withColumn("_one", F.lit(1)).join(top, "_one").withColumn("enabled", F.lit(True))
+    created = created.withColumn("order", F.lit(largest_order(tags))).withColumn("enabled", F.lit(True))
     all_tags = append_matching(tags, created)
     new_links = (
         named.select("id", "name").distinct().join(all_tags.select(F.col("id").alias("tag_id"), "name"), "name")

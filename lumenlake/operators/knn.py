@@ -10,7 +10,6 @@ inequality on angles cannot rule out, so no neighbour is lost.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,15 +185,19 @@ def _sample_pivots(distinct: DataFrame, per_model: dict, dtype: str) -> dict:
 
 
 def _all_pairs(distinct: DataFrame, counts: dict, layout: KnnLayout, limit: int, dtype: str) -> DataFrame:
-    """Small search: every block of a model meets every block of it."""
+    """Small search: every block of a model meets every block of it.
+
+    Queries are split further than candidates, so that all cores have work
+    without more partial results per query.
+    """
     most = max(counts.values())
     tasks = distinct.sparkSession.sparkContext.defaultParallelism
-    spread = min(math.ceil((2 * tasks) ** 0.5), layout.prune_from_blocks, -(-most // 256))
-    n_blocks = F.lit(max(-(-most // layout.block_rows), spread))
-    placed = distinct.withColumn("block", F.pmod(F.xxhash64("digest"), n_blocks).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other")
-    left = placed.select("model", "rep", "raw", F.col("block").alias("q"), others).withColumnRenamed("other", "c")
-    right = placed.select("model", "ids", "raw", F.col("block").alias("c"), others).withColumnRenamed("other", "q")
+    c_blocks = -(-most // layout.block_rows)
+    q_blocks = max(c_blocks, min(2 * tasks, -(-most // 128)))
+    place = F.xxhash64("digest")
+    every_c, every_q = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (c_blocks, q_blocks))
+    left = distinct.select("model", "rep", "raw", F.pmod(place, F.lit(q_blocks)).cast("int").alias("q"), every_c.alias("c"))
+    right = distinct.select("model", "ids", "raw", F.pmod(place, F.lit(c_blocks)).cast("int").alias("c"), every_q.alias("q"))
     keys = ["model", "q", "c"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_pair_hits(limit, dtype), _HITS)
 
@@ -296,11 +299,9 @@ def nearest_neighbours(
     )
     rows, distinct = _distinct_vectors(source, limit, dtype)
 
-    # Models are a handful of named networks; one count each.
-    counts = {
-        r["model"]: r["n"]
-        for r in distinct.groupBy("model").agg(F.count(F.lit(1)).alias("n")).limit(10_001).collect()
-    }
+    # Models are a handful of named networks; one small row each.
+    per_model = distinct.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ids")).alias("copies")).limit(10_001).collect()
+    counts = {r["model"]: r["n"] for r in per_model}
     if len(counts) > 10_000:
         raise ValueError("more than 10000 model hashes; check the model column")
     if not counts:
@@ -316,7 +317,7 @@ def nearest_neighbours(
         .groupBy("model", "rep")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "sim"))).alias("found"))
     )
-    if distinct.where(F.size("ids") > 1).limit(1).count():
+    if max(r["copies"] for r in per_model) > 1:
         lists = cut_lineage(lists)
         known = lists.join(distinct.select("model", "rep", "digest", F.size("ids").alias("copies")), ["model", "rep"])
         single = known.where("copies = 1").select(F.col("rep").alias("query_id"), "found")

@@ -145,14 +145,14 @@ def known_hashes(candidates: DataFrame, images: DataFrame) -> DataFrame:
 def with_tags(images: DataFrame, tags: DataFrame, links: DataFrame, fields: Sequence[str] = ("name",)) -> DataFrame:
     """Adds `tags`: the image's tags as an array of structs by (order, id); empty when untagged.
 
-    Duplicate links collapse before any row is grouped, so an array never
-    holds more than the number of tags.
+    Links are combined per image before the only shuffle; a set never holds more
+    than the number of tags, however often a link is repeated.
     """
     entry = F.struct("order", F.col("id").alias("id"), *[f for f in fields if f not in ("order", "id")])
     named = tags.select(F.col("id").alias("tag_id"), entry.alias("tag"))
     per_image = (
-        links.select("image_id", "tag_id").distinct().join(named, "tag_id")
-        .groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+        links.join(named, "tag_id").groupBy(F.col("image_id").alias("id"))
+        .agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     )
     joined = images.join(per_image, "id", "left")
     empty = F.array().cast(joined.schema["tags"].dataType)

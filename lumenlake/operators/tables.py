@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions.names import normalised_file_name
 from lumenlake.functions.text import strip
 from lumenlake.functions.vectors import with_vector_problems
-from lumenlake.operators.ingest import append_matching, assign_ids
+from lumenlake.operators.ingest import append_matching, assign_ids, largest_order
 from lumenlake.operators.ordering import first_per_key
 
 
@@ -88,9 +88,8 @@ def upsert_tags(tags: DataFrame, incoming: DataFrame) -> DataFrame:
     changed = update_columns(changed, by_name.drop("id"), [c for c in fields if c not in ("name", "order")], "name")
     unknown_id = incoming.where("id IS NOT NULL").join(tags.select("id"), "id", "left_anti")
     unknown_name = incoming.where("id IS NULL").join(tags.select("name"), "name", "left_anti")
-    top = F.broadcast(tags.agg(F.coalesce(F.max("order"), F.lit(0)).alias("_order"), F.lit(1).alias("_one")))
     fresh = assign_ids(unknown_id.unionByName(unknown_name).drop("id"), tags, ["name"])
-    fresh = fresh.withColumn("_one", F.lit(1)).join(top, "_one").withColumn("order", F.col("_order"))
+    fresh = fresh.withColumn("order", F.lit(largest_order(tags)))
     return append_matching(changed, fresh)
 
 
