@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.ordering import first_per_key, with_global_index
+from lumenlake.operators.ordering import first_per_key, present_keys, with_global_index
 from lumenlake.session import cut_lineage
 
 NEW, IN_REQUEST, IN_LIBRARY = "new", "duplicate_in_request", "duplicate_in_library"
@@ -24,7 +24,7 @@ def import_outcomes(candidates: DataFrame, images: DataFrame, position: str = "p
     pile up anywhere.
     """
     first = candidates.groupBy("hash").agg(F.min(position).alias(position))
-    known = images.select("hash", F.lit(True).alias("_known")).distinct()
+    known = present_keys(candidates, images, "hash").withColumn("_known", F.lit(True))
     judged = first.join(known, "hash", "left").select(
         "hash", position, F.when(F.col("_known"), F.lit(IN_LIBRARY)).otherwise(F.lit(NEW)).alias("_outcome")
     )
@@ -35,7 +35,7 @@ def import_outcomes(candidates: DataFrame, images: DataFrame, position: str = "p
 
 def new_candidates(candidates: DataFrame, images: DataFrame, position: str = "position") -> DataFrame:
     """First candidate of every hash the library does not hold."""
-    return first_occurrences(candidates, "hash", position).join(images.select("hash"), "hash", "left_anti")
+    return first_occurrences(candidates, "hash", position).join(present_keys(candidates, images, "hash"), "hash", "left_anti")
 
 
 def outcome_counts(plan: DataFrame, outcome: str = "outcome") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators import ingest
-from lumenlake.operators.ordering import first_per_key
+from lumenlake.operators.ordering import first_per_key, present_keys
 from lumenlake.session import cut_lineage
 
 DAMAGED, MERGED, UNCHANGED, ADDED = "damaged", "merged", "unchanged", "added"
@@ -69,7 +69,7 @@ def merge_library(
     all_tags = cut_lineage(ingest.add_missing_tags(tags, backup_tags))
     records = cut_lineage(damage_check(dedupe_backup(backup_images), files))
     sound = records.where("not damaged")
-    fresh = sound.join(images.select("hash"), "hash", "left_anti")
+    fresh = sound.join(present_keys(sound, images, "hash"), "hash", "left_anti")
     added = cut_lineage(ingest.assign_ids(fresh, images, ["position"]))
     all_images = ingest.append_matching(images, added)
 

@@ -78,6 +78,15 @@ def skew_safe_lookup(
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def present_keys(request: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Requested keys that the table holds, each once.
+
+    The request is the right side of the semi join, so a small request is
+    broadcast by its size and a large table is only scanned, not shuffled.
+    """
+    return table.select(key).join(request.select(key).distinct(), key, "left_semi").distinct()
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], limit: int = 1) -> DataFrame:
     """The first `limit` rows of every key; Spark trims each key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.text import contains_casefold, contains_literal, like_wildcard
-from lumenlake.operators.ordering import first_per_key, newest_first, tag_order
+from lumenlake.operators.ordering import first_per_key, newest_first, present_keys, tag_order
 
 
 def search_text(images: DataFrame, query: str) -> DataFrame:
@@ -117,7 +117,7 @@ def maintenance_records(images: DataFrame) -> DataFrame:
 
 def existing(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Keys that exist in `rows`."""
-    return keys.join(rows.select(key), key, "left_semi")
+    return keys.join(present_keys(keys, rows, key), key, "left_semi")
 
 
 def vectors_by_id(vectors: DataFrame, keys: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def vector_id_map(vectors: DataFrame, image_ids: DataFrame) -> DataFrame:
 
 def known_hashes(candidates: DataFrame, images: DataFrame) -> DataFrame:
     """Candidate hashes already in the library, each once (C4)."""
-    return candidates.select("hash").distinct().join(images.select("hash"), "hash", "left_semi")
+    return present_keys(candidates, images, "hash")
 
 
 def with_tags(images: DataFrame, tags: DataFrame, links: DataFrame, fields: Sequence[str] = ("name",)) -> DataFrame:

@@ -15,12 +15,12 @@ from lumenlake.functions.names import normalised_file_name
 from lumenlake.functions.text import strip
 from lumenlake.functions.vectors import with_vector_problems
 from lumenlake.operators.ingest import append_matching, assign_ids, largest_order
-from lumenlake.operators.ordering import first_per_key
+from lumenlake.operators.ordering import first_per_key, present_keys
 
 
 def missing_keys(change: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     """Keys of a change frame that the table does not hold."""
-    return change.select(key).distinct().join(table.select(key), key, "left_anti")
+    return change.select(key).distinct().join(present_keys(change, table, key), key, "left_anti")
 
 
 def require_none(violations: DataFrame, message: str) -> None:

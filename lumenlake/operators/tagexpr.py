@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators.ordering import newest_first
+from lumenlake.operators.search import search_file_name, search_tag_name, search_text
 
 
 class TagExpressionError(ValueError):
@@ -124,3 +125,16 @@ def search_tag_expression(images: DataFrame, tags: DataFrame, links: DataFrame,
     if predicate is None:
         return images.where(F.lit(False))
     return newest_first(filter_by_tags(images, tags, links, predicate))
+
+
+def run_search(kind: str, query: str, images: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
+    """The search of the given kind: tag, text, filename or advanced (a tag expression)."""
+    if kind == "tag":
+        return search_tag_name(images, tags, links, query)
+    if kind == "text":
+        return search_text(images, query)
+    if kind == "filename":
+        return search_file_name(images, query)
+    if kind == "advanced":
+        return search_tag_expression(images, tags, links, query)
+    raise ValueError(f"unknown search kind {kind!r}")

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import text
 from lumenlake.operators import history, ordering, search
-from lumenlake.operators.tagexpr import TagExpressionError, filter_by_tags, has_tag, parse_tags, search_tag_expression
+from lumenlake.operators.tagexpr import (
+    TagExpressionError,
+    filter_by_tags,
+    has_tag,
+    parse_tags,
+    run_search,
+    search_tag_expression,
+)
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +127,29 @@ def test_search_history(spark):
     tags = spark.createDataFrame([(1, "ALPHA", True, 0), (2, "Alps", True, 0)], "id long, name string, enabled boolean, order int")
     shown = history.suggestions(recent, tags, "alp").orderBy("source", "position").collect()
     assert [(r["source"], r["title"]) for r in shown] == [("recent", "Alpha"), ("recent", "Alphabet"), ("tag", "Alps")]
+
+
+def test_search_kinds(library):
+    images, tags, links = library
+    images = images.withColumn("text_in_image", F.col("original_file_name"))
+    ids = lambda kind, q: [r["id"] for r in run_search(kind, q, images, tags, links).collect()]
+    assert ids("tag", "a") == [4, 2, 1] and ids("text", "B") == [3, 2] and ids("filename", "ONLY") == [3, 1] and ids("advanced", "C") == [4]
+    assert ids("tag", " ") == [] and ids("tag", "hidden") == []
+    with pytest.raises(ValueError):
+        ids("other", "a")
+
+
+def test_plans_push_filters_and_avoid_wide_shuffles(spark, tmp_path):
+    """Paging filters reach the scan; a small request never shuffles the library."""
+    path = str(tmp_path / "images")
+    spark.range(1000).select("id", F.sha1(F.col("id").cast("string").cast("binary")).alias("hash"), F.lit("2026-01-01").cast("timestamp_ntz").alias("imported_at"), F.lit("x").alias("unused")).write.parquet(path)
+    images = spark.read.parquet(path)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    paged = plan(ordering.page_after(images.select("id", "imported_at"), dt.datetime(2026, 1, 1), 500, "imported_at"))
+    assert "LessThanOrEqual(imported_at" in paged and "TakeOrderedAndProject" in paged and "unused" not in paged
+    images.select("hash").limit(5).write.parquet(path + "-asked")
+    asked = spark.read.parquet(path + "-asked")
+    assert "BroadcastHashJoin" in plan(search.known_hashes(asked, images))
