@@ -198,6 +198,8 @@ def _all_pairs(distinct: DataFrame, counts: dict, layout: KnnLayout, limit: int,
     every_c, every_q = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (c_blocks, q_blocks))
     left = distinct.select("model", "rep", "raw", F.pmod(place, F.lit(q_blocks)).cast("int").alias("q"), every_c.alias("c"))
     right = distinct.select("model", "ids", "raw", F.pmod(place, F.lit(c_blocks)).cast("int").alias("c"), every_q.alias("q"))
+    # Both sides come from one table: fresh column ids keep them apart.
+    right = right.toDF(*right.columns)
     keys = ["model", "q", "c"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_pair_hits(limit, dtype), _HITS)
 
@@ -310,16 +312,18 @@ def nearest_neighbours(
     search = _all_pairs if most_blocks < layout.prune_from_blocks else _pruned
     hits = search(distinct, counts, layout, limit, dtype)
 
-    best = Window.partitionBy("model", "rep").orderBy(F.col("sim").desc(), "candidate_id")
+    # Keyed by rep alone (ids are unique), so that later work per query_id finds
+    # its rows already together.
+    best = Window.partitionBy("rep").orderBy(F.col("sim").desc(), "candidate_id")
     lists = (
         hits.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= limit)
-        .groupBy("model", "rep")
+        .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "sim"))).alias("found"))
     )
     if max(r["copies"] for r in per_model) > 1:
         lists = cut_lineage(lists)
-        known = lists.join(distinct.select("model", "rep", "digest", F.size("ids").alias("copies")), ["model", "rep"])
+        known = lists.join(distinct.select("model", "rep", "digest", F.size("ids").alias("copies")), "rep")
         single = known.where("copies = 1").select(F.col("rep").alias("query_id"), "found")
         repeated = known.where("copies > 1").select("model", "digest", "found")
         keys = rows.select("id", "model", "digest")
