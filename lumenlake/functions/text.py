@@ -47,7 +47,9 @@ def contains_literal(c: str | Column, query: str) -> Column:
     query = query.strip()
     if not query:
         return F.lit(False)
-    return F.coalesce(ascii_fold(c).contains(ascii_fold_text(query)), F.lit(False))
+    # The flag folds A-Z only; the query is quoted, so every character is literal.
+    quoted = query.replace("\\E", "\\E\\\\E\\Q")
+    return F.coalesce(_col(c).rlike(f"(?i)\\Q{quoted}\\E"), F.lit(False))
 
 
 def like_wildcard(c: str | Column, query: str) -> Column:

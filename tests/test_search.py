@@ -77,6 +77,9 @@ def test_literal_percent_and_wildcards(spark):
     assert found(text.like_wildcard("t", "1_0")) == {1, 2}
     assert found(text.contains_literal("t", "äb")) == set()
     assert found(text.contains_literal("t", "b_C")) == {4}
+    odd = spark.createDataFrame([("a.\\Eb\n(C",), ("axEb",)], "t string")
+    assert odd.where(text.contains_literal("t", ".\\EB\n(c")).count() == 1
+    assert odd.where(text.contains_literal("t", "A.")).count() == 1
     assert found(text.contains_casefold("t", "äB")) == {4}
     assert found(text.contains_casefold("t", "")) == {1, 2, 3, 4}
 
