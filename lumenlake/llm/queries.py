@@ -4,23 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlake.llm import suffix_dedup
+from lumenlake.llm import line_templates, piece_codec, quality_rules, source_mix, suffix_dedup, token_counts
 from lumenlake.llm.common import load
 
+# Tokenizer files are named, never copied.
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return piece_codec.digests(coded)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_templates.drop_recurring(load(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(load(spark, sf_dir, "documents")).drop("failed")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op4_line_dedup": op4_line_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op6_token_counts": op6_token_counts,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_source_mix": op10_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator over whole tables."""
-    return {}
+    return {
+        "op4_line_dedup": line_templates.SQL,
+        "op7_quality_rules": quality_rules.SQL,
+        "op10_source_mix": source_mix.SQL,
+    }
