@@ -24,7 +24,9 @@ def build_session(master: str | None = None, app_name: str = "lumenlake", **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -74,9 +76,9 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors that do not share the driver's files this package as a zip."""
+    """Give Python workers this package as a zip, whatever folder and master the driver runs in."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_lumenlake_shipped", False):
+    if getattr(sc, "_lumenlake_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lumenlake"), "zip", root, "lumenlake"))
