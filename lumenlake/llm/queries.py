@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import line_templates, piece_codec, quality_rules, source_mix, suffix_dedup, token_counts
+from lumenlake.llm import lattice_dedup, line_templates, piece_codec, quality_rules, simhash, source_mix, suffix_dedup, token_counts
 from lumenlake.llm.common import load
 
 # Tokenizer files are named, never copied.
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(coded)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_templates.drop_recurring(load(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(load(spark, sf_dir, "documents")).drop("failed")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(load(spark, sf_dir, "documents"))
 
@@ -45,10 +53,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op3_simhash": op3_simhash,
         "op4_line_dedup": op4_line_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
     }
 
