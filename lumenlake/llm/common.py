@@ -27,6 +27,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with further columns that later steps read as they are.
+
+    Spark copies a projection's expressions into filters and lambdas above it, where a
+    split text would be split again for each word. It never does so across a generator,
+    here one that makes one row of each row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each row of a binary Arrow column, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

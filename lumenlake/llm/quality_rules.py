@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import BLANKS
+from lumenlake.llm.common import BLANKS, computed_once
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -35,50 +35,50 @@ def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def _word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _word_counts(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """One projection after another over the text, its words and its three-word windows; rows stay in place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: _trimmed(x) != "")
     none = F.array().cast("array<string>")
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.when(_trimmed(F.col("text")) == "", none).otherwise(F.split(_trimmed(F.col("text")), BLANKS)).alias("words"),
-        lines.alias("lines"),
-    )
+    named = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    words = F.when(_trimmed(F.col("text")) == "", none).otherwise(F.split(_trimmed(F.col("text")), BLANKS))
+    split = computed_once(named, words=words, lines=lines)
     w = F.col("words")
     at = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
     # Windows as (hash, place), sorted: equal windows are neighbours.
     windows = F.sort_array(F.transform(at, lambda i: F.struct(
         F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    counted = split.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
+    s = F.col("windows")
+    again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    counted = computed_once(split, windows=windows).select(
+        *carry, "doc_id", F.size("words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).alias("n_stop"),
         F.size(F.filter(w, lambda x: F.lower(x) != F.upper(x))).alias("n_letter"),
-        windows.alias("windows"),
+        F.size(covered).cast("long").alias("n_repeat_words"),
     )
-    s = F.col("windows")
-    again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return counted.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("windows")
+    return computed_once(counted.select(*carry, F.struct(*[c for c in counted.columns if c not in carry]).alias("counts")), row=F.col("counts")).select(
+        *carry, "row.*")
 
 
 def assess(
     docs: DataFrame, thresholds: Sequence[tuple[str, str, float | None, float | None]] = THRESHOLDS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
 ) -> DataFrame:
     """Counts, ratios and verdict of each document, in one pass without shuffle.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, failed (names of the rules missed). A null text has no words
+    base_failed, kept, failed (names of the rules missed), then those named in `carry`. A null text has no words
     and fails `length`; ratios of a text without words are 0. Rows stay as they are,
     repeated ones and null ids included; other columns are ignored. Texts are read
     whole, and sorting a text's windows takes n log n steps, however long it is.
     """
     n = F.greatest("n_words", F.lit(1))
-    measures = _word_counts(docs, id_col, text_col).withColumns({
+    measures = _word_counts(docs, id_col, text_col, list(carry)).withColumns({
         "mean_word_chars": F.col("word_chars") / n,
         "symbols_per_word": F.col("n_symbols") / n,
         "stop_word_ratio": F.col("n_stop") / n,
@@ -98,10 +98,16 @@ def assess(
     failed = F.array_compact(F.array(*missed)) if missed else F.array().cast("array<string>")
     return measures.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"),
+        base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"), *carry,
     )
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, that keep to every rule."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col), F.col(text_col))
+    return assess(whole, id_col=id_col, text_col=text_col, carry=["_row"]).where("kept").select("_row.*")
+
+
 def _sql_rule(measure: str, least: float | None, most: float | None) -> str:
     sides = [f"{measure} < {least}"] * (least is not None) + [f"{measure} > {most}"] * (most is not None)
     return "(" + " OR ".join(sides or ["false"]) + ")"

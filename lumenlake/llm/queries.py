@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import lattice_dedup, line_templates, piece_codec, quality_rules, simhash, source_mix, suffix_dedup, token_counts
+from lumenlake.llm import (
+    lattice_dedup, license_scan, line_templates, piece_codec, quality_rules, simhash, source_mix, suffix_dedup, token_counts, toxicity,
+)
 from lumenlake.llm.common import load
 
 # Tokenizer files are named, never copied.
@@ -20,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(coded)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -42,6 +48,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(load(spark, sf_dir, "documents")).drop("failed")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
@@ -53,11 +64,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_license_scan": op2_license_scan,
         "op3_simhash": op3_simhash,
         "op4_line_dedup": op4_line_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
     }
@@ -66,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator over whole tables."""
     return {
+        "op2_license_scan": license_scan.SQL,
         "op4_line_dedup": line_templates.SQL,
         "op7_quality_rules": quality_rules.SQL,
         "op10_source_mix": source_mix.SQL,

@@ -107,9 +107,9 @@ def n_words(text: Column) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None,
-    weights: Mapping[str | None, float] | Sequence[float] = WEIGHTS, seed: int = SEED, scratch: list[str] | None = None,
+    weights: Mapping[str | None, float] | Sequence[float] = WEIGHTS, seed: int = SEED, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): how many words of each document a weighted mix takes.
+    """(doc_id, size, source_size, target, taken), then columns named in `carry`: how many words of each document a weighted mix takes.
 
     `sources` is the array of sources that a document belongs to (default: its
     `source` column alone); `source_size` and `target` are those of the first of
@@ -126,11 +126,10 @@ def mix(
     member = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array(F.lit(None).cast("string")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), text)), 1, 15), 16, 10)
-    keep = [] if scratch is None else scratch
     sized = stored(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), n_words(F.col(text_col)).alias("size"), member.alias("members"),
+        *carry, F.col(id_col).cast("long").alias("doc_id"), n_words(F.col(text_col)).alias("size"), member.alias("members"),
         order.cast("long").alias("place"),
-    ), keep)
+    ), [])
     rows = sized.groupBy("members").agg(F.sum("size").alias("size")).collect()
     patterns = {tuple(dict.fromkeys(r["members"])): 0 for r in rows}
     sizes: dict[str | None, int] = {}
@@ -171,7 +170,15 @@ def mix(
     outside = placed.where(F.col("last").isNull() | (F.col("slice") != F.col("last"))).withColumn(
         "more", F.coalesce(F.col("slice") < F.col("last"), F.lit(False)).cast("long"))
     return outside.unionByName(inside).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), *carry)
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` as often as the mix takes them: untaken ones go, repeated ones repeat."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col), F.col(text_col), F.col("source"))
+    mixed = mix(whole, id_col, text_col, carry=["_row"]).where("taken > 0")
+    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return mixed.select("_row", F.explode(times)).select("_row.*")
 
 
 SQL = rf"""
