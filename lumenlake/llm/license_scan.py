@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import computed_once
 from lumenlake.llm.license_texts import KNOWN
 
 # Spellings that mean the same in a licence.
@@ -25,43 +26,64 @@ HOLDER_LINE = r"(?m)^[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved[. \t]
 # Everything but letters and digits parts words; letters of all scripts count.
 BREAKS = r"[^\p{L}\p{N}]+"
 
+# Tables of known licences up to this many rows are sent to all executors; larger ones are shuffled.
+BROADCAST_ROWS = 50_000
 
-def canonical(text: Column) -> Column:
-    """Lower case, no holder lines, one blank for punctuation and white space, one spelling of each word."""
-    out = F.regexp_replace(F.lower(text), HOLDER_LINE, " ")
-    out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, BREAKS, " ")), F.lit(" "))
+
+def _plain(text: Column) -> Column:
+    """Lower case, no holder lines, one blank for punctuation and white space."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), HOLDER_LINE, " "), BREAKS, " "))
+
+
+def _spelled(plain: Column) -> Column:
+    """One spelling of each word."""
+    out = F.concat(F.lit(" "), plain, F.lit(" "))
     for other, chosen in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {chosen} "))
     return F.btrim(out)
 
 
+def _keys(plain: Column) -> dict[str, Column]:
+    """First and last word as spelled in the canonical form: cheap to compare before the whole text is spelled out."""
+    return {"first": F.substring_index(_spelled(F.substring_index(plain, " ", 3)), " ", 1),
+            "last": F.substring_index(_spelled(F.substring_index(plain, " ", -3)), " ", -1)}
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(license, digest) of the given texts; its size is that of the given table."""
+    """(license, digest, first, last) of the given texts; its size is that of the given table."""
     rows = [(name, text) for name, given in texts.items() for text in given]
-    return spark.createDataFrame(rows, "license string, text string").select(
-        "license", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    plain = spark.createDataFrame(rows, "license string, text string").select("license", _plain(F.col("text")).alias("plain"))
+    return plain.select("license", F.sha2(_spelled(F.col("plain")), 256).alias("digest"), *[
+        c.alias(name) for name, c in _keys(F.col("plain")).items()]).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, notices): the licence that a whole text is, and those that a whole block or line of it is.
 
-    `known` is (license, digest); a digest stands for one licence (the first by name if
-    given several). Blocks are parted by empty lines. `notices` is sorted, without
+    `known` is as from `known_licenses`; a digest stands for one licence (the first by
+    name if given several). Blocks are parted by empty lines. `notices` is sorted, without
     repeats, empty where nothing matches. A null or empty text has no licence. Every row
     gives one row, repeated ones and null ids included; other columns are ignored.
-    Texts stay where they are: only digests that match are shuffled.
+    Texts stay where they are: only digests that match are shuffled. A text is spelled
+    out and hashed only if its first and last words are those of a known licence.
     """
     one = known.groupBy("digest").agg(F.min("license").alias("license"))
+    ends = known.select("first", "last").distinct()
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        one, ends = F.broadcast(one), F.broadcast(ends)
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    grains = named.select("doc_id", "text_hash", F.explode(F.concat(
-        F.array(F.struct(F.lit("text").alias("grain"), F.col("text").alias("part"))),
-        F.transform(F.array_distinct(F.concat(F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n"))),
-                    lambda p: F.struct(F.lit("part").alias("grain"), p.alias("part"))),
-    )).alias("g")).select("doc_id", "text_hash", "g.grain", F.sha2(canonical(F.col("g.part")), 256).alias("digest"))
-    found = grains.join(one, "digest").groupBy("doc_id", "text_hash").agg(
-        F.min(F.when(F.col("grain") == "text", F.col("license"))).alias("license"),
-        F.array_sort(F.collect_set(F.when(F.col("grain") == "part", F.col("license")))).alias("notices"))
+    blocks = F.col("blocks")
+    parts = computed_once(named, blocks=F.split("text", r"\n[ \t\r]*\n")).select(
+        "doc_id", "text_hash", F.explode(F.transform(
+            F.array_distinct(F.concat(F.array("text"), blocks, F.split("text", "\n"))),
+            lambda p: F.struct(p.alias("part"), (p == F.col("text")).alias("whole"), ((p != F.col("text")) | (F.size(blocks) == 1)).alias("inner")),
+        )).alias("g")).select("doc_id", "text_hash", "g.*")
+    plain = computed_once(parts, plain=_plain(F.col("part"))).drop("part")
+    likely = computed_once(plain, **_keys(F.col("plain"))).join(ends, ["first", "last"], "left_semi")
+    found = likely.withColumn("digest", F.sha2(_spelled(F.col("plain")), 256)).join(one, "digest").groupBy("doc_id", "text_hash").agg(
+        F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
+        F.array_sort(F.collect_set(F.when(F.col("inner"), F.col("license")))).alias("notices"))
     match = (F.col("d.text_hash") == F.col("f.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     return named.select("doc_id", "text_hash").alias("d").join(found.alias("f"), match, "left").select(
         "d.doc_id", "f.license", F.coalesce("f.notices", F.array().cast("array<string>")).alias("notices"))
