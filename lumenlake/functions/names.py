@@ -110,24 +110,39 @@ def is_rgb(color: str | Column) -> Column:
 
 
 def rfc3339(local: str | Column, zone: str = "UTC") -> Column:
-    """Naive local time as text with its offset, UTC as `Z` (F7); microseconds only when present."""
-    instant = F.to_utc_timestamp(_col(local).cast("timestamp"), zone)
-    wall = F.from_utc_timestamp(instant, zone)
-    micros = F.when(F.date_format(wall, "SSSSSS") != "000000", F.date_format(wall, ".SSSSSS")).otherwise(F.lit(""))
-    seconds = (wall.cast("double") - instant.cast("double")).cast("int")
-    sign = F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+"))
-    minutes = F.abs(seconds) / 60
-    offset = F.when(seconds == 0, F.lit("Z")).otherwise(F.format_string("%s%02d:%02d", sign, (minutes / 60).cast("int"), (minutes % 60).cast("int")))
-    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), micros, offset)
+    """Naive local time as text with its offset, UTC as `Z` (F7); microseconds only when present.
+
+    Computed on naive times throughout, so the session's own zone plays no part.
+    """
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), _col(local).cast("timestamp_ntz"))
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    text = wall.cast("string")
+    micros = F.regexp_extract(text, r"\.([0-9]+)$", 1)
+    micros = F.when(micros != "", F.concat(F.lit("."), F.rpad(micros, 6, "0"))).otherwise(F.lit(""))
+    ahead = wall - utc
+    minutes = 60 * F.extract(F.lit("HOUR"), ahead) + F.extract(F.lit("MINUTE"), ahead)
+    sign = F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+"))
+    size = F.abs(minutes)
+    offset = F.when(minutes == 0, F.lit("Z")).otherwise(F.format_string("%s%02d:%02d", sign, (size / 60).cast("int"), (size % 60).cast("int")))
+    return F.concat(F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")), micros, offset)
 
 
 def from_iso8601(text: str | Column, zone: str = "UTC") -> Column:
-    """ISO text to naive local time; zoned values are converted, naive ones kept (F8); null when invalid."""
+    """ISO text to naive local time; zoned values are converted, naive ones kept (F8); null when invalid.
+
+    Wall time and offset are read apart and joined without the session's zone.
+    """
     t = _col(text)
-    zoned = t.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$") & t.contains(":")
     shaped = t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
-    instant = F.try_to_timestamp(F.replace(t, F.lit(","), F.lit(".")))
-    local = F.when(zoned, F.from_utc_timestamp(instant, zone)).otherwise(instant)
+    offset = F.when(t.contains(":"), F.regexp_extract(t, "(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)).otherwise(F.lit(""))
+    wall = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(offset)), F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    sign = F.when(offset.startswith("-"), F.lit(1)).otherwise(F.lit(-1))
+    # Adding the offset's opposite gives UTC.
+    hours = sign * F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0))
+    minutes = sign * F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    utc = wall + F.make_dt_interval(F.lit(0), hours, minutes, F.lit(0).cast("decimal(18,6)"))
+    local = F.when(offset == "", wall).otherwise(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
     return F.when(shaped, local).cast("timestamp_ntz")
 
 

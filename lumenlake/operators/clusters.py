@@ -13,22 +13,19 @@ from lumenlake.session import cut_lineage, drop_table, write_table
 
 
 def mutual_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
-    """(threshold, a, b) with a < b: pairs that found each other at or above the floor."""
-    least = min(floors)
-    reached = F.filter(F.array(*[F.lit(float(f)) for f in floors]), lambda f: F.col("sim") >= f)
-    return (
-        ranked.where(F.col("sim") >= least)
-        .select(F.least("query_id", "candidate_id").alias("a"), F.greatest("query_id", "candidate_id").alias("b"), "sim")
-        .where("a <> b")
-        .withColumn("threshold", F.explode(reached))
-        .groupBy("threshold", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n >= 2")
-        .select("threshold", "a", "b")
+    """(threshold, a, b) with a < b: pairs that found each other at or above the floor, however often each is listed."""
+    forth = F.col("query_id") < F.col("candidate_id")
+    found = (
+        ranked.where((F.col("sim") >= min(floors)) & (F.col("query_id") != F.col("candidate_id")))
+        .groupBy(F.least("query_id", "candidate_id").alias("a"), F.greatest("query_id", "candidate_id").alias("b"))
+        .agg(F.max(F.when(forth, F.col("sim"))).alias("there"), F.max(F.when(~forth, F.col("sim"))).alias("back"))
+        .where(F.col("there").isNotNull() & F.col("back").isNotNull())
     )
+    reached = F.filter(F.array(*[F.lit(float(f)) for f in floors]), lambda f: F.least("there", "back") >= f)
+    return found.select(F.explode(reached).alias("threshold"), "a", "b")
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """(threshold, node, label): the smallest node of each component, for all thresholds at once.
 
     Every round the smallest label across an edge is taken over by the node and by
@@ -45,7 +42,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels, path = write_table(
         edges.groupBy("threshold", "node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     )
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels, ["threshold", "node"]).withColumnRenamed("label", "mine")
         near = near.join(labels.select("threshold", F.col("node").alias("other"), "label"), ["threshold", "other"])
         # A smaller label over an edge goes to the node and to the node's label.
@@ -64,7 +61,6 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels, path = after.drop("before"), after_path
         if not after.where("label <> before").limit(1).count():
             return labels
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def near_duplicate_clusters(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:

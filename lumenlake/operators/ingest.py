@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenlake.operators.ordering import first_per_key, present_keys, with_global_index
 from lumenlake.session import cut_lineage
 
-NEW, IN_REQUEST, IN_LIBRARY = "new", "duplicate_in_request", "duplicate_in_library"
+NEW, IN_REQUEST, IN_LIBRARY, NO_HASH = "new", "duplicate_in_request", "duplicate_in_library", "error"
 
 
 def first_occurrences(rows: DataFrame, key: str, position: str = "position") -> DataFrame:
@@ -19,23 +20,29 @@ def first_occurrences(rows: DataFrame, key: str, position: str = "position") ->
 def import_outcomes(candidates: DataFrame, images: DataFrame, position: str = "position") -> DataFrame:
     """Candidates with `outcome`: first of its hash and new, repeated in the request, or known.
 
-    The request is reduced to one position per hash before anything is joined;
-    the join back uses (hash, position), so a hash shared by many rows does not
-    pile up anywhere.
+    A candidate without a hash is an `error`. Of candidates with one hash and one
+    position a single one is the first. The request is reduced to one position per
+    hash before anything is joined; the join back uses (hash, position), so a hash
+    shared by many rows does not pile up anywhere.
     """
-    first = candidates.groupBy("hash").agg(F.min(position).alias(position))
-    known = present_keys(candidates, images, "hash").withColumn("_known", F.lit(True))
+    hashed = candidates.where(F.col("hash").isNotNull())
+    first = hashed.groupBy("hash").agg(F.min(position).alias(position))
+    known = present_keys(hashed, images, "hash").withColumn("_known", F.lit(True))
     judged = first.join(known, "hash", "left").select(
         "hash", position, F.when(F.col("_known"), F.lit(IN_LIBRARY)).otherwise(F.lit(NEW)).alias("_outcome")
     )
-    return candidates.join(judged, ["hash", position], "left").select(
-        *candidates.columns, F.coalesce("_outcome", F.lit(IN_REQUEST)).alias("outcome")
-    )
+    tied = Window.partitionBy("hash", position).orderBy(F.xxhash64(*candidates.columns))
+    placed = hashed.withColumn("_tie", F.row_number().over(tied))
+    outcome = F.when(F.col("_tie") == 1, F.col("_outcome"))
+    found = placed.join(judged, ["hash", position], "left").select(
+        *candidates.columns, F.coalesce(outcome, F.lit(IN_REQUEST)).alias("outcome"))
+    return found.unionByName(candidates.where(F.col("hash").isNull()).withColumn("outcome", F.lit(NO_HASH)))
 
 
 def new_candidates(candidates: DataFrame, images: DataFrame, position: str = "position") -> DataFrame:
     """First candidate of every hash the library does not hold."""
-    return first_occurrences(candidates, "hash", position).join(present_keys(candidates, images, "hash"), "hash", "left_anti")
+    hashed = candidates.where(F.col("hash").isNotNull())
+    return first_occurrences(hashed, "hash", position).join(present_keys(candidates, images, "hash"), "hash", "left_anti")
 
 
 def outcome_counts(plan: DataFrame, outcome: str = "outcome") -> DataFrame:

@@ -69,7 +69,7 @@ def skew_safe_lookup(
     keys = list(keys)
     total = sizes.agg(F.sum(size_col)).first()[0] or 0
     hot = F.broadcast(
-        sizes.where((F.col(size_col) * 1000 > F.lit(total)) & (F.col(size_col) > 10_000)).select(*keys, F.lit(True).alias("_hot"))
+        sizes.where(F.col(size_col) * 1000 > F.lit(total)).select(*keys, F.lit(True).alias("_hot"))
     )
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

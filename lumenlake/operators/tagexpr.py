@@ -103,11 +103,9 @@ def parse_tags(text: str) -> TagPredicate | None:
 def tag_flags(image_ids: DataFrame, tags: DataFrame, links: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """One row per image id with a boolean `t<i>` per name; disabled and unknown tags are false.
 
-    Tag names are unique, so at most one tag row per name is broadcast.
+    Several tags may share a name: an image with any of them has it.
     """
-    wanted = F.broadcast(
-        tags.where(F.col("enabled") & F.col("name").isin(*names)).select(F.col("id").alias("tag_id"), "name").limit(len(names))
-    )
+    wanted = tags.where(F.col("enabled") & F.col("name").isin(*names)).select(F.col("id").alias("tag_id"), "name")
     flags = [F.max(F.col("name") == n).alias(f"t{i}") for i, n in enumerate(names)]
     carried = links.join(wanted, "tag_id").groupBy(F.col("image_id").alias("id")).agg(*flags)
     joined = image_ids.join(carried, "id", "left")

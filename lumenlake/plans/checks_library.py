@@ -282,8 +282,8 @@ def _(lib):
 
 
 def _measure(text):
-    if len(text) > 3000:
-        raise ValueError("too long")
+    if "|" in text:
+        raise ValueError("a table, not prose")
     return len(text)
 
 
@@ -297,23 +297,23 @@ def _enriched(lib):
 
 
 @query("h1_enrichment", "", """
-    SELECT doc_id, CASE WHEN length(text) <= 3000 THEN 2 * length(text) + 1 END AS value,
-           CASE WHEN length(text) > 3000 THEN 'ValueError: too long' END AS error, CASE WHEN length(text) > 3000 THEN 'measure' END AS stage FROM documents""")
+    SELECT doc_id, CASE WHEN NOT contains(text, '|') THEN 2 * length(text) + 1 END AS value,
+           CASE WHEN contains(text, '|') THEN 'ValueError: a table, not prose' END AS error, CASE WHEN contains(text, '|') THEN 'measure' END AS stage FROM documents""")
 def _(lib):
     return _enriched(lib)
 
 
 @query("d18_job_summary", "", """
-    SELECT count(*) AS completed, count(*) FILTER (length(text) <= 3000) AS succeeded, count(*) FILTER (length(text) > 3000) AS failed FROM documents""")
+    SELECT count(*) AS completed, count(*) FILTER (NOT contains(text, '|')) AS succeeded, count(*) FILTER (contains(text, '|')) AS failed FROM documents""")
 def _(lib):
     return enrich.job_summary(_enriched(lib))
 
 
 @query("c13_map_results", "", """
     SELECT 'p' || doc_id AS path, CASE WHEN lang <> 'es' THEN doc_id END AS id,
-           CASE WHEN lang = 'es' THEN 'unmapped' WHEN length(text) > 3000 THEN 'failed' ELSE 'updated' END AS outcome,
+           CASE WHEN lang = 'es' THEN 'unmapped' WHEN contains(text, '|') THEN 'failed' ELSE 'updated' END AS outcome,
            CASE WHEN lang = 'es' THEN 'p' || doc_id || ': no image for this result'
-                WHEN length(text) > 3000 THEN source || '_' || lang || '.txt: ValueError: too long' END AS message FROM documents""")
+                WHEN contains(text, '|') THEN source || '_' || lang || '.txt: ValueError: a table, not prose' END AS message FROM documents""")
 def _(lib):
     results = _enriched(lib).withColumn("path", F.concat(F.lit("p"), "doc_id"))
     images = lib.txt.where(~F.col("original_file_name").endswith("_es.txt")).withColumn("path", F.concat(F.lit("p"), "id"))

@@ -230,3 +230,28 @@ def test_streams_equal_one_batch(spark, tmp_path):
     for folder in ("h", "h2"):
         kept = history_stream.stored_history(spark, str(tmp_path / folder), keep=4).orderBy("position").collect()
         assert [r["text"] for r in kept] == ["T5", "T4", "T3", "T2"]
+
+
+def test_import_outcomes_with_ties_and_nulls(spark):
+    rows = [("h", 1, "a"), ("h", 1, "b"), ("h", 2, "c"), (None, 3, "d"), ("k", 4, "e")]
+    got = ingest.import_outcomes(
+        spark.createDataFrame(rows, "hash string, position long, name string"), spark.createDataFrame([("k",)], "hash string")).collect()
+    assert sorted(r["outcome"] for r in got) == ["duplicate_in_library", "duplicate_in_request", "duplicate_in_request", "error", "new"]
+    assert {r["outcome"] for r in got if r["name"] == "c"} == {"duplicate_in_request"}
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.range(1).select(
+                names.rfc3339(F.lit("2026-03-08T02:30:00").cast("timestamp_ntz")).alias("gap"),
+                names.rfc3339(F.lit("2026-07-01T12:00:00.5").cast("timestamp_ntz"), "America/New_York").alias("summer"),
+                names.from_iso8601(F.lit("2026-01-01T00:00:00+08:00")).cast("string").alias("zoned"),
+                names.from_iso8601(F.lit("2026-03-08 02:30")).cast("string").alias("naive"),
+                names.from_iso8601(F.lit("2026-13-01")).cast("string").alias("bad"),
+            ).first()
+            assert tuple(row) == ("2026-03-08T02:30:00Z", "2026-07-01T12:00:00.500000-04:00", "2025-12-31 16:00:00", "2026-03-08 02:30:00", None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -156,3 +156,11 @@ def test_plans_push_filters_and_avoid_wide_shuffles(spark, tmp_path):
     images.select("hash").limit(5).write.parquet(path + "-asked")
     asked = spark.read.parquet(path + "-asked")
     assert "BroadcastHashJoin" in plan(search.known_hashes(asked, images))
+
+
+def test_tags_that_share_a_name_all_count(spark):
+    images = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id long, original_file_name string").withColumn(
+        "modification_date", F.lit("2026-01-01").cast("timestamp_ntz"))
+    tags = spark.createDataFrame([(1, "same", True, 0), (2, "same", True, 0)], "id long, name string, enabled boolean, order int")
+    links = spark.createDataFrame([(1, 1), (2, 2)], "image_id long, tag_id long")
+    assert {r["id"] for r in search_tag_expression(images, tags, links, "same").collect()} == {1, 2}

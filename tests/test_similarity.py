@@ -124,3 +124,9 @@ def test_clusters_join_long_chains_and_need_both_directions(spark):
     assert members == {(0.8, "T0.80_00001", 60): set(range(1, 61)), (0.8, "T0.80_00002", 2): {200, 201}}
     stats = {r["threshold"]: (r["clusters"], r["members"], r["median_size"], r["size_ge_5"]) for r in curve_stats.cluster_statistics(clusters.cluster_sizes(spark.createDataFrame(got)), (0.95, 0.8)).collect()}
     assert stats == {0.95: (0, 0, None, 0), 0.8: (2, 62, 31, 1)}
+
+
+def test_a_repeated_one_way_hit_is_not_mutual(spark):
+    rows = [(1, 2, 0.9), (1, 2, 0.9), (3, 4, 0.9), (4, 3, 0.85), (4, 3, 0.7)]
+    table = spark.createDataFrame(rows, "query_id long, candidate_id long, sim double")
+    assert sorted(tuple(r) for r in clusters.mutual_pairs(table, (0.8, 0.88)).collect()) == [(0.8, 3, 4)]
