@@ -18,8 +18,9 @@ WEIGHTS = (5, 2, 1)
 # No document is taken more often than this; a source's target stops there too.
 MOST_PASSES = 3
 SEED = 20240501
-# The seeded order is summed in so many slices per pattern; only one slice is sorted.
-SLICES = 1 << 14
+# The seeded order is a number of so many bits. It is summed in 2^SLICE_BITS slices per pattern, then the slice in
+# which the rest ends in as many again; only rows that share all LEVELS slices are sorted, one in 2^24.
+PLACE_BITS, SLICE_BITS, LEVELS = 60, 8, 3
 
 
 @dataclass
@@ -105,6 +106,11 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANKS))).cast("long")
 
 
+def _slice(level: int) -> Column:
+    """Number of a row's slice when the seeded order is cut `level` times."""
+    return F.shiftright("place", PLACE_BITS - level * SLICE_BITS)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None,
     weights: Mapping[str | None, float] | Sequence[float] = WEIGHTS, seed: int = SEED, carry: Sequence[str] = (),
@@ -153,16 +159,23 @@ def mix(
     schema = "members array<string>, source_size long, target double, passes long, rest long, pattern string"
     # One row per membership pattern, all from source names.
     shares = F.broadcast(docs.sparkSession.createDataFrame(plan, T._parse_datatype_string(schema)))
-    known = sized.withColumn("slice", F.shiftright("place", 60 - SLICES.bit_length() + 1)).join(
-        shares, sized["members"].eqNullSafe(shares["members"])).drop("members")
-    # The slice in which the rest ends: lower ones are taken whole, higher ones not.
-    sums = known.where("rest > 0").groupBy("pattern", "slice", "rest").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("slice"))
-    edge = F.broadcast(
-        sums.withColumn("upto", upto).where("upto > rest").groupBy("pattern")
-        .agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-        .select("pattern", F.col("edge.slice").alias("last"), F.col("edge.before").alias("before")))
-    placed = known.join(edge, "pattern", "left")
+    known = sized.join(shares, sized["members"].eqNullSafe(shares["members"])).drop("members")
+    # The slice in which the rest ends, level by level: lower ones are taken whole, higher ones not.
+    edge = None
+    for level in range(1, LEVELS + 1):
+        part = known.where("rest > 0").select("pattern", "rest", "size", _slice(level).alias("slice"))
+        if edge is None:
+            part = part.withColumn("before", F.lit(0).cast("long"))
+        else:
+            part = part.join(edge, "pattern").where(F.shiftright("slice", SLICE_BITS) == F.col("last"))
+        sums = part.groupBy("pattern", "slice", "rest", "before").agg(F.sum("size").alias("words"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("slice"))
+        # One row per pattern.
+        edge = F.broadcast(
+            sums.withColumn("upto", upto).where("upto > rest").groupBy("pattern")
+            .agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
+            .select("pattern", F.col("edge.slice").alias("last"), F.col("edge.before").alias("before")))
+    placed = known.withColumn("slice", _slice(LEVELS)).join(edge, "pattern", "left")
     inside = placed.where(F.col("slice") == F.col("last"))
     by_place = Window.partitionBy("pattern").orderBy("place", F.col("doc_id").asc_nulls_last())
     before = F.col("before") + F.sum("size").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
