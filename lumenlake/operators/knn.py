@@ -48,8 +48,8 @@ class KnnLayout:
     prune_from_blocks: int = 32
 
 
-def _encode(dtype: str):
-    """Arrow batches of (id, model, vector) to raw bytes, zero and null vectors left out."""
+def encode_vectors(dtype: str, keep_zero: bool = False):
+    """Arrow batches of (id, model, vector) to raw bytes; null and non-finite vectors are left out, zero ones unless kept."""
     np_type = np.dtype(dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def _encode(dtype: str):
             for i, n in enumerate(vectors.value_lengths().to_pylist()):
                 if n:
                     v = flat[start : start + n]
-                    keep[i] = bool(np.isfinite(v).all() and v.any())
+                    keep[i] = bool(np.isfinite(v).all() and (keep_zero or v.any()))
                     raw[i] = v.tobytes()
                     start += n
             out = pa.RecordBatch.from_arrays(
@@ -126,7 +126,7 @@ def _pair_hits(limit: int, dtype: str):
 
 def _distinct_vectors(vectors: DataFrame, limit: int, dtype: str) -> tuple[DataFrame, DataFrame]:
     """(rows with content digest, one row per distinct vector with its `limit` smallest ids)."""
-    encoded = vectors.mapInArrow(_encode(dtype), "id long, model string, raw binary")
+    encoded = vectors.mapInArrow(encode_vectors(dtype), "id long, model string, raw binary")
     rows = encoded.withColumn("digest", F.sha1("raw"))
     first = Window.partitionBy("model", "digest").orderBy("id")
     distinct = (
@@ -289,15 +289,19 @@ def nearest_neighbours(
 
     With `model_col` only vectors of the same model are compared (B12). Rows are
     ranked by (cosine desc, id); `sim` is the cosine, never below zero (F1).
-    Null and all-zero vectors have no direction and take no part.
+    Vectors of different sizes never meet. Null, empty, all-zero and non-finite vectors
+    take no part; `vector_search.vector_refusal` names them.
     """
     layout = layout or KnnLayout()
     element = vectors.schema[vector_col].dataType.elementType
     dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"
     limit = top_k if include_self else top_k + 1
     model = F.col(model_col).cast("string") if model_col else F.lit("")
+    # The size is part of the model.
     source = vectors.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(model, F.lit("")).alias("model"), F.col(vector_col).alias("vector")
+        F.col(id_col).cast("long").alias("id"),
+        F.concat_ws(":", F.size(vector_col), F.coalesce(model, F.lit(""))).alias("model"),
+        F.col(vector_col).alias("vector"),
     )
     rows, distinct = _distinct_vectors(source, limit, dtype)
 

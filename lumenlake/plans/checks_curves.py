@@ -7,7 +7,7 @@ at 0.2 and the clusters at 0.45 ... 0.30.
 from pyspark.sql import functions as F
 
 from lumenlake.functions import vectors as vec_fn
-from lumenlake.operators import clusters, curve_stats, curves, knn, search
+from lumenlake.operators import clusters, curve_stats, curves, knn, search, vector_search
 from lumenlake.plans.registry import query
 from lumenlake.sources import backup
 
@@ -77,6 +77,51 @@ def _(lib):
     return ranked.withColumn("sim", F.round("sim", 6))
 
 
+# Query vectors that the library does not hold: those of every fifth image, read backwards.
+_GIVEN = """, found AS (
+    SELECT a.image_id AS query_id, b.image_id AS candidate_id, round({distance}, 12) AS d
+    FROM vec a JOIN vec b ON {rule})
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, candidate_id) AS INTEGER) AS rank,
+           candidate_id, round(d, 6) AS distance, round(greatest(0.0, 1 - d), 6) AS sim
+    FROM found QUALIFY rank <= 50"""
+
+
+def _given(lib):
+    return lib.vec.where("image_id % 5 = 0").select(F.col("image_id").alias("query_id"), F.reverse("vector").alias("vector"), "model_hash")
+
+
+def _shown(found):
+    return found.withColumns({"distance": F.round("distance", 6), "sim": F.round("sim", 6)})
+
+
+@query("w1_search_vectors", "vec", _GIVEN.format(
+    distance="1 - list_cosine_similarity(list_reverse(a.vector), b.vector)", rule="a.model_hash = b.model_hash WHERE a.image_id % 5 = 0"))
+def _(lib):
+    return _shown(vector_search.search_vectors(_given(lib), lib.vec, 50, id_col="image_id", model_col="model_hash"))
+
+
+@query("f1_search_l2", "vec", _GIVEN.format(
+    distance="pow(list_distance(list_reverse(a.vector), b.vector), 2)", rule="true WHERE a.image_id % 5 = 0"))
+def _(lib):
+    return _shown(vector_search.search_vectors(_given(lib), lib.vec, 50, metric="l2", id_col="image_id"))
+
+
+@query("w1_search_ids", "vec", """, wanted AS (SELECT DISTINCT 3 * image_id AS query_id FROM vec),
+    found AS (
+        SELECT query_id, b.image_id AS candidate_id, round(list_cosine_similarity(a.vector, b.vector), 12) AS c
+        FROM wanted JOIN vec a ON a.image_id = query_id JOIN vec b ON b.image_id <> query_id),
+    ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id) AS INTEGER) AS rank,
+               candidate_id, round(greatest(0.0, c), 6) AS sim, NULL::VARCHAR AS problem
+        FROM found QUALIFY rank <= 20)
+    SELECT * FROM ranked UNION ALL
+    SELECT query_id, NULL, NULL, NULL, 'unknown' FROM wanted WHERE query_id NOT IN (SELECT image_id FROM vec)""")
+def _(lib):
+    wanted = lib.vec.select((3 * F.col("image_id")).alias("image_id"))
+    found, problems = vector_search.search_ids(wanted, lib.vec, 20, id_col="image_id")
+    return found.select("query_id", "rank", "candidate_id", F.round("sim", 6).alias("sim")).unionByName(problems, allowMissingColumns=True)
+
+
 @query("b12_same_model_guard", "vec", f""", {_MODEL_KNN.format(self_rule="AND a.image_id <> b.image_id")}
     SELECT q.model_hash AS query_model, c.model_hash AS candidate_model, count(*) AS n FROM same
     JOIN vec q ON q.image_id = query_id JOIN vec c ON c.image_id = candidate_id GROUP BY ALL""")

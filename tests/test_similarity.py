@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators import clusters, curve_stats, curves, knn
+from lumenlake.operators import clusters, curve_stats, curves, knn, vector_search
 
 
 def brute_force(ids, vectors, k, include_self=False):
@@ -53,6 +53,40 @@ def test_model_guard_and_unusable_vectors(spark):
     assert knn.nearest_neighbours(frame.where("id > 3"), 5).count() == 0
 
 
+def test_vectors_of_different_sizes_never_meet(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.1]), (3, [1.0, 0.0]), (4, [1.0, 0.2]), (5, [float("nan"), 1.0]), (6, []), (7, [1.0, None])]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    pairs = {(1, 2), (2, 1), (3, 4), (4, 3)}
+    assert {(r["query_id"], r["candidate_id"]) for r in knn.nearest_neighbours(frame, 5).collect()} == pairs
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 99, 1, None)], "id long")
+    got, problems = vector_search.search_ids(ids, frame, 5)
+    assert {(r["query_id"], r["candidate_id"]) for r in got.collect()} == pairs
+    assert {tuple(r) for r in problems.collect()} == {
+        (5, "not finite"), (6, "missing"), (7, "not finite"), (99, "unknown"), (None, "unknown")}
+
+
+@pytest.mark.parametrize("metric, block_rows", [("cosine", 4096), ("l2", 50), ("ip", 16)])
+def test_search_equals_brute_force(spark, vectors, metric, block_rows):
+    ids, v, frame = vectors
+    rng = np.random.default_rng(8)
+    q = np.vstack([rng.normal(size=(58, 8)), v[:2]]).astype(np.float32)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<float>")
+    a, b = q.astype(np.float64), v.astype(np.float64)
+    if metric == "l2":
+        want = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    else:
+        if metric == "cosine":
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+        want = 1 - a @ b.T
+    expected = {}
+    for i, row in enumerate(np.round(want, 12)):
+        order = sorted(range(len(ids)), key=lambda j: (row[j], ids[j]))[:9]
+        expected |= {(i, rank): (ids[j], row[j]) for rank, j in enumerate(order, 1)}
+    rows = vector_search.search_vectors(queries, frame, 9, metric=metric, block_rows=block_rows).collect()
+    assert {(r["query_id"], r["rank"]): r["candidate_id"] for r in rows} == {k: x[0] for k, x in expected.items()}
+    assert all(abs(r["distance"] - expected[r["query_id"], r["rank"]][1]) < 1e-9 for r in rows)
+
+
 def ranked(spark, *curves_):
     rows = [(q, r, 1000 * q + r, s) for q, scores in enumerate(curves_) for r, s in enumerate(scores, 1)]
     return spark.createDataFrame(rows, "query_id int, rank int, candidate_id int, sim double")
