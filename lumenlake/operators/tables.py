@@ -1,14 +1,14 @@
 """Changes to library tables as functions old table + change -> new table.
 
 Writing the result out is the caller's step. Change frames hold one row per key
-unless said otherwise.
+unless said otherwise, or name a `position` column: then the last row of a key counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.names import normalised_file_name
@@ -30,8 +30,16 @@ def require_none(violations: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {[tuple(r) for r in shown]}")
 
 
-def update_columns(table: DataFrame, change: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+def last_changes(change: DataFrame, key: str, position: str | None) -> DataFrame:
+    """The row of each key with the largest `position`; the frame as it is without a position."""
+    return change if position is None else first_per_key(change, [key], [F.col(position).desc()])
+
+
+def update_columns(
+    table: DataFrame, change: DataFrame, columns: Sequence[str], key: str = "id", position: str | None = None
+) -> DataFrame:
     """Set `columns` of matching rows; null is a value like any other, unknown keys are ignored (M4)."""
+    change = last_changes(change, key, position)
     new = change.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = table.join(new, key, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
@@ -74,21 +82,27 @@ def delete_images(images: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[
     return images.join(gone, "id", "left_anti"), links.join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti")
 
 
-def upsert_tags(tags: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_tags(tags: DataFrame, incoming: DataFrame, position: str | None = None) -> DataFrame:
     """Add or modify tags (M9).
 
     By id all fields are overwritten. Without an id the name decides: fields are
     overwritten but the order is kept. What is left becomes a new tag whose order
-    is the largest in use.
+    is the largest in use. With a `position` (unique) a name or id may repeat: its last
+    row counts, and new tags are numbered by the first row of their name, not by name.
     """
-    fields = [c for c in incoming.columns if c in tags.columns and c != "id"]
+    fields = [c for c in incoming.columns if c in tags.columns and c not in ("id", position)]
     by_id = incoming.where("id IS NOT NULL").join(tags.select("id"), "id", "left_semi")
-    changed = update_columns(tags, by_id, fields)
+    changed = update_columns(tags, by_id, fields, position=position)
     by_name = incoming.where("id IS NULL").join(tags.select("name"), "name", "left_semi")
-    changed = update_columns(changed, by_name.drop("id"), [c for c in fields if c not in ("name", "order")], "name")
+    changed = update_columns(changed, by_name.drop("id"), [c for c in fields if c not in ("name", "order")], "name", position)
     unknown_id = incoming.where("id IS NOT NULL").join(tags.select("id"), "id", "left_anti")
     unknown_name = incoming.where("id IS NULL").join(tags.select("name"), "name", "left_anti")
-    fresh = assign_ids(unknown_id.unionByName(unknown_name).drop("id"), tags, ["name"])
+    if position is not None:
+        last = F.max(position).over(Window.partitionBy("name"))
+        first = F.min(position).over(Window.partitionBy("name"))
+        unknown_name = unknown_name.withColumns({"_last": last, "_first": first}).where(F.col(position) == F.col("_last"))
+        unknown_name = unknown_name.withColumn(position, F.col("_first")).drop("_last", "_first")
+    fresh = assign_ids(unknown_id.unionByName(unknown_name).drop("id"), tags, [position or "name"])
     fresh = fresh.withColumn("order", F.lit(largest_order(tags)))
     return append_matching(changed, fresh)
 

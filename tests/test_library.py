@@ -255,3 +255,16 @@ def test_times_do_not_depend_on_the_session_zone(spark):
             assert tuple(row) == ("2026-03-08T02:30:00Z", "2026-07-01T12:00:00.500000-04:00", "2025-12-31 16:00:00", "2026-03-08 02:30:00", None)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_last_row_of_a_repeated_key_counts(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    change = spark.createDataFrame([(1, "x", 0), (1, None, 2), (1, "y", 1), (9, "z", 3), (None, "n", 4)], "id long, v string, pos int")
+    assert sorted(map(tuple, tables.update_columns(table, change, ["v"], position="pos").collect())) == [(1, None), (2, "b")]
+
+    tags = spark.createDataFrame([(1, "a", 3, "red"), (2, "b", 7, "blue")], "id long, name string, `order` int, color_rgb string")
+    rows = [(None, "z", 0, "c0", 0), (None, "a", 0, "c1", 1), (None, "y", 0, "c2", 2), (None, "z", 0, "c3", 3), (None, "a", 0, "c4", 4),
+            (2, "bb", 8, "c5", 5), (2, "bc", 9, "c6", 6)]
+    incoming = spark.createDataFrame(rows, "id long, name string, `order` int, color_rgb string, pos int")
+    got = tables.upsert_tags(tags, incoming, position="pos").select("id", "name", "order", "color_rgb")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 3, "c4"), (2, "bc", 9, "c6"), (3, "z", 7, "c3"), (4, "y", 7, "c2")]
