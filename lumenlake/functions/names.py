@@ -24,15 +24,23 @@ FORMAT_EXTENSIONS = {
     "HEIC": ".heic",
     "JPEG2000": ".jp2",
 }
-# (format, hex of the first bytes)
+# (format, first bytes)
 MAGIC = (
-    ("PNG", "89504E470D0A1A0A"),
-    ("JPEG", "FFD8FF"),
-    ("GIF", "474946383761"),
-    ("GIF", "474946383961"),
-    ("BMP", "424D"),
-    ("TIFF", "49492A00"),
-    ("TIFF", "4D4D002A"),
+    ("PNG", b"\x89PNG\r\n\x1a\n"),
+    ("JPEG", b"\xff\xd8\xff"),
+    ("GIF", b"GIF87a"),
+    ("GIF", b"GIF89a"),
+    ("BMP", b"BM"),
+    ("TIFF", b"II*\x00"),
+    ("TIFF", b"MM\x00*"),
+    ("JPEG2000", b"\x00\x00\x00\x0cjP  \r\n\x87\n"),
+    ("JPEG2000", b"\xff\x4f\xff\x51"),
+)
+# (format, major brands behind `ftyp` at byte 5)
+BRANDS = (
+    ("AVIF", (b"avif", b"avis")),
+    ("HEIC", (b"heic", b"heix", b"heim", b"heis", b"hevc", b"hevx")),
+    ("HEIF", (b"mif1", b"msf1")),
 )
 # Thumbnails: needed above 300 pixels, drawn into a 200-pixel square.
 THUMBNAIL_ABOVE, THUMBNAIL_SIDE = 300, 200
@@ -45,11 +53,31 @@ def _col(c: str | Column) -> Column:
 
 def image_format(content: str | Column) -> Column:
     """Format by the first bytes, null when unknown."""
-    head = F.hex(F.substring(_col(content), 1, 12))
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    c = _col(content)
+    brand = F.when(F.substring(c, 5, 4) == F.lit(b"ftyp"), F.substring(c, 9, 4))
+    found = F.when((F.substring(c, 1, 4) == F.lit(b"RIFF")) & (F.substring(c, 9, 4) == F.lit(b"WEBP")), F.lit("WEBP"))
     for name, magic in MAGIC:
-        found = found.when(head.startswith(magic), F.lit(name))
-    return found.when(head.startswith("52494646") & head.endswith("57454250") & (F.length(head) == 24), F.lit("WEBP"))
+        found = found.when(F.substring(c, 1, len(magic)) == F.lit(magic), F.lit(name))
+    for name, brands in BRANDS:
+        found = found.when(brand.isin(*[F.lit(b) for b in brands]), F.lit(name))
+    return found
+
+
+def image_size(content: str | Column, fmt: Column) -> Column:
+    """struct(width, height) as the header of a PNG, GIF or BMP states it; nulls for other formats and short files (A4)."""
+    c = _col(content)
+
+    def number(first: int, size: int, little: bool) -> Column:
+        places = range(first + size - 1, first - 1, -1) if little else range(first, first + size)
+        digits = F.concat(*[F.hex(F.substring(c, at, 1)) for at in places])
+        return F.when(F.length(c) >= first + size - 1, F.conv(digits, 16, 10).cast("long"))
+
+    # A BMP stored top-down has a negative height.
+    bmp_height = number(23, 4, True)
+    bmp_height = F.when(bmp_height >= 1 << 31, (1 << 32) - bmp_height).otherwise(bmp_height)
+    width = F.when(fmt == "PNG", number(17, 4, False)).when(fmt == "GIF", number(7, 2, True)).when(fmt == "BMP", number(19, 4, True))
+    height = F.when(fmt == "PNG", number(21, 4, False)).when(fmt == "GIF", number(9, 2, True)).when(fmt == "BMP", bmp_height)
+    return F.struct(width.alias("width"), height.alias("height"))
 
 
 def format_extension(fmt: str | Column) -> Column:

@@ -132,9 +132,9 @@ def _(lib):
     return ranked.join(q, "query_id").join(c, "candidate_id").groupBy("query_model", "candidate_model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c9_ranked_images", "vec knn txt", "SELECT query_id, rank, candidate_id, original_file_name FROM knn JOIN txt ON txt.id = candidate_id WHERE text_in_image IS NOT NULL")
+@query("c9_ranked_images", "vec knn part_txt", "SELECT query_id, rank, candidate_id, original_file_name FROM knn JOIN part_txt ON part_txt.id = candidate_id WHERE text_in_image IS NOT NULL")
 def _(lib):
-    images = lib.txt.where("text_in_image IS NOT NULL").select("id", "original_file_name")
+    images = lib.part_txt.where("text_in_image IS NOT NULL").select("id", "original_file_name")
     return search.ranked_images(_neighbours(lib), images).select("query_id", "rank", "candidate_id", "original_file_name")
 
 

@@ -27,13 +27,51 @@ def _doc_files(lib):
 _FIRST = "first_doc AS (SELECT sha1(text) AS hash, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, min(doc_id) AS doc_id FROM documents GROUP BY 1)"
 
 
-@query("a4_file_profiles", "", """
-    SELECT 'dir/' || doc_id || '.txt' AS path, doc_id || '.txt' AS original_file_name, octet_length(encode(text)) AS file_size, sha1(text) AS hash,
-           CASE WHEN starts_with(text, 'BM') THEN '.bmp' END AS extension,
-           CASE WHEN NOT starts_with(text, 'BM') THEN 'unknown image format: dir/' || doc_id || '.txt' END AS error FROM documents""")
+# First bytes by document number, with the format they stand for; the text follows.
+_HEADS = (
+    (b"\x89PNG\r\n\x1a\n\x00\x00\x00\x0dIHDR\x00\x00\x01\x02\x00\x00\x00\x03", "PNG", ".png", 258, 3),
+    (b"\xff\xd8\xff\xe0", "JPEG", ".jpg", None, None),
+    (b"GIF89a\x02\x01\x04\x00", "GIF", ".gif", 258, 4),
+    (b"BM" + bytes(16) + b"\x05\x01\x00\x00\xf6\xff\xff\xff", "BMP", ".bmp", 261, 10),
+    (b"II*\x00", "TIFF", ".tif", None, None),
+    (b"RIFF0000WEBP", "WEBP", ".webp", None, None),
+    (b"\x00\x00\x00\x1cftypavif", "AVIF", ".avif", None, None),
+    (b"\x00\x00\x00\x1cftypheic", "HEIC", ".heic", None, None),
+    (b"\x00\x00\x00\x1cftypmif1", "HEIF", ".heif", None, None),
+    (b"\x00\x00\x00\x0cjP  \r\n\x87\n", "JPEG2000", ".jp2", None, None),
+    (b"\x00\x00\x00\x1cftypmp42", None, None, None, None),
+    (b"\x00RIFF", None, None, None, None),
+)
+
+
+def _sql_by_head(place: int) -> str:
+    def literal(v):
+        return "NULL" if v is None else f"unhex('{v.hex()}')" if isinstance(v, bytes) else f"'{v}'" if isinstance(v, str) else str(v)
+
+    return f"CASE doc_id % {len(_HEADS)} " + " ".join(f"WHEN {i} THEN {literal(h[place])}" for i, h in enumerate(_HEADS)) + " END"
+
+
+_FRAMED = f"framed AS (SELECT doc_id, {_sql_by_head(0)} || encode(text) AS content FROM documents)"
+
+
+def _framed(lib):
+    """Documents as files that begin like images of twelve kinds."""
+    head = F.get(F.array(*[F.lit(h[0]) for h in _HEADS]), F.pmod("doc_id", F.lit(len(_HEADS))).cast("int"))
+    return lib.table("documents").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content"))
+
+
+@query("a4_file_profiles", "", f"""WITH {_FRAMED}
+    SELECT 'dir/' || doc_id || '.txt' AS path, doc_id || '.txt' AS original_file_name, octet_length(content) AS file_size, sha1(content) AS hash,
+           {_sql_by_head(2)} AS extension, CAST({_sql_by_head(3)} AS BIGINT) AS size_width, CAST({_sql_by_head(4)} AS BIGINT) AS size_height,
+           CASE WHEN {_sql_by_head(1)} IS NULL THEN 'unknown image format: dir/' || doc_id || '.txt' END AS error FROM framed""")
+def _(lib):
+    return files.file_profiles(_framed(lib).select(F.concat(F.lit("dir/"), "doc_id", F.lit(".txt")).alias("path"), "content"))
+
+
+@query("f10_image_format", "", f"SELECT doc_id, {_sql_by_head(1)} AS format, {_sql_by_head(2)} AS extension FROM documents")
 def _(lib):
-    path = F.concat(F.lit("dir/"), "doc_id", F.lit(".txt"))
-    return files.file_profiles(lib.table("documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")))
+    fmt = names.image_format("content")
+    return _framed(lib).select("doc_id", fmt.alias("format"), names.format_extension(fmt).alias("extension"))
 
 
 @query("a5_blob_entities", "txt", """
@@ -244,16 +282,16 @@ def _linked_images(lib):
     """Documents as images: English linked rightly, French to a neighbour's vector, the rest unlinked."""
     link = F.when(F.col("lang") == "en", F.concat(F.lit("v"), "id")).when(F.col("lang") == "fr", F.concat(F.lit("v"), F.col("id") + 1))
     langs = lib.table("documents").select(F.col("doc_id").alias("id"), "lang")
-    return lib.txt.join(langs, "id").withColumn("vector_id", link).drop("lang")
+    return lib.part_txt.join(langs, "id").withColumn("vector_id", link).drop("lang")
 
 
 _PLAN = """, plan AS (
     SELECT t.id, CASE WHEN v.vector_id IS NULL THEN CASE WHEN upper(t.hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END
                       WHEN lang = 'en' THEN 'skipped' ELSE 'relink' END AS action, v.vector_id, text_in_image
-    FROM txt t JOIN documents ON doc_id = t.id LEFT JOIN vec v ON v.image_id = t.id)"""
+    FROM part_txt t JOIN documents ON doc_id = t.id LEFT JOIN vec v ON v.image_id = t.id)"""
 
 
-@query("c7_vector_plan", "txt blob vec", f"{_PLAN} SELECT id, action, vector_id FROM plan")
+@query("c7_vector_plan", "part_txt blob vec", f"{_PLAN} SELECT id, action, vector_id FROM plan")
 def _(lib):
     return maintain.vector_plan(_linked_images(lib), lib.vec, lib.blob)
 
@@ -266,10 +304,10 @@ def _(lib):
     return maintain.vector_plan(_linked_images(lib), lib.vec, lib.blob, maintain.MaintenanceOptions(match_model="m1"))
 
 
-@query("m17_d21_maintenance_plan", "txt blob vec", f"""{_PLAN}
+@query("m17_d21_maintenance_plan", "part_txt blob vec", f"""{_PLAN}
     SELECT 'vectors' AS task, action, count(*) AS n FROM plan GROUP BY 2
-    UNION ALL SELECT 'text', CASE WHEN upper(hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END, count(*) FROM txt WHERE text_in_image IS NULL GROUP BY 2
-    UNION ALL SELECT 'blobs', 'delete', count(*) FROM blob WHERE lower(hash) NOT IN (SELECT hash FROM txt)""")
+    UNION ALL SELECT 'text', CASE WHEN upper(hash) IN (SELECT hash FROM blob) THEN 'generate' ELSE 'missing_blob' END, count(*) FROM part_txt WHERE text_in_image IS NULL GROUP BY 2
+    UNION ALL SELECT 'blobs', 'delete', count(*) FROM blob WHERE lower(hash) NOT IN (SELECT hash FROM part_txt)""")
 def _(lib):
     return maintain.maintenance_plan(_linked_images(lib), lib.vec, lib.blob)
 

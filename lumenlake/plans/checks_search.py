@@ -75,9 +75,9 @@ def _(lib):
     return search_expression(lib, "NOT unknown")
 
 
-@query("b8_missing_text", "txt", "SELECT id FROM txt WHERE text_in_image IS NULL")
+@query("b8_missing_text", "part_txt", "SELECT id FROM part_txt WHERE text_in_image IS NULL")
 def _(lib):
-    return search.missing_text(lib.txt).select("id")
+    return search.missing_text(lib.part_txt).select("id")
 
 
 @query("b9_query_metadata", "vec", """
@@ -227,17 +227,30 @@ def _(lib):
 
 
 @query("f3_normalised_names", "img", """
-    SELECT id, rtrim(original_file_name[:-5], ' .') || '.png' AS name,
-           CAST(NULL AS VARCHAR) AS refused
-    FROM img""")
-def _(lib):
-    refused = names.normalised_file_name(F.concat(F.lit("../"), "original_file_name"), "extension")
-    return lib.img.select("id", names.normalised_file_name("original_file_name", "extension").alias("name"), refused.alias("refused"))
+    SELECT id, CASE WHEN id % 4 IN (1, 2) THEN rtrim(original_file_name[:-5], ' .') || '.png' END AS name FROM img""")
+def _(lib):
+    """A path and a bare extension are refused; a padded name and one without extension are mended."""
+    stem = F.regexp_replace("original_file_name", "\\.PNG$", "")
+    given = (
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("../"), "original_file_name"))
+        .when(F.col("id") % 4 == 1, F.concat(F.lit("  "), "original_file_name"))
+        .when(F.col("id") % 4 == 2, F.concat(stem, F.lit(" . ")))
+        .otherwise(F.lit(" .PNG"))
+    )
+    return lib.img.select("id", names.normalised_file_name(given, "extension").alias("name"))
 
 
-@query("f4_extension_override", "txt", "SELECT DISTINCT lower(extension) AS extension FROM txt")
+@query("f4_extension_override", "", """
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.' || lang WHEN 2 THEN '.' || source END AS extension FROM documents""")
 def _(lib):
-    return lib.txt.select(names.extension_override(F.concat(F.lit(" "), "extension")).alias("extension")).distinct()
+    """Without a dot or with a blank inside an extension is refused."""
+    given = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" ."), F.upper("lang"), F.lit("\t")))
+        .when(F.col("doc_id") % 4 == 1, F.col("lang"))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("."), "source"))
+        .otherwise(F.concat(F.lit("."), "lang", F.lit(" "), "source"))
+    )
+    return lib.table("documents").select("doc_id", names.extension_override(given).alias("extension"))
 
 
 @query("f5_safe_names", "", "SELECT page_id, NOT contains(url, '/') AS safe FROM pages")
@@ -272,14 +285,6 @@ def _(lib):
     )
 
 
-@query("f10_image_format", "", """
-    SELECT doc_id, CASE WHEN starts_with(text, 'BM') THEN 'BMP' END AS format, CASE WHEN starts_with(text, 'BM') THEN '.bmp' END AS extension
-    FROM documents""")
-def _(lib):
-    fmt = names.image_format(F.col("text").cast("binary"))
-    return lib.table("documents").select("doc_id", fmt.alias("format"), names.format_extension(fmt).alias("extension"))
-
-
 @query("f11_sha1", "", "SELECT doc_id, sha1(text) AS hash, left(sha1(text), 16) AS short FROM documents")
 def _(lib):
     from lumenlake.functions.vectors import model_hash
@@ -299,7 +304,12 @@ def _(lib):
     return turns.select("conv_id", F.array_join(F.array_distinct("t.role"), ",").alias("roles"))
 
 
-@query("f17_contracts", "txt", "SELECT id, true AS hash_ok, NOT contains(original_file_name, '/') AS path_ok, false AS rgb_ok FROM txt")
+@query("f17_contracts", "", """
+    SELECT doc_id, doc_id % 3 <> 0 AS hash_ok, lang <> 'fr' AS path_ok, doc_id % 2 = 0 AS rgb_ok FROM documents""")
 def _(lib):
-    path = F.concat(F.lit("set_1/"), "original_file_name")
-    return lib.txt.select("id", names.is_hash("hash").alias("hash_ok"), names.is_set_path(path).alias("path_ok"), names.is_rgb("hash").alias("rgb_ok"))
+    digest = F.sha1(F.col("text").cast("binary"))
+    hashes = F.when(F.col("doc_id") % 3 == 0, F.substring(digest, 1, 39)).otherwise(digest)
+    path = F.concat(F.when(F.col("lang") == "fr", F.lit("set_0/")).otherwise(F.lit("set_1/")), "source")
+    color = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("#")).otherwise(F.lit("")), F.substring(digest, 1, 6))
+    return lib.table("documents").select(
+        "doc_id", names.is_hash(hashes).alias("hash_ok"), names.is_set_path(path).alias("path_ok"), names.is_rgb(color).alias("rgb_ok"))

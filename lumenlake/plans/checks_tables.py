@@ -247,9 +247,12 @@ def _(lib):
     return tables.update_vectors(lib.vec, change, ["model_hash"]).select("vector_id", "model_hash")
 
 
-@query("m15_reset_vectors", "vec", "SELECT vector_id FROM vec WHERE false")
+@query("m15_reset_vectors", "vec", "SELECT 'new' || vector_id AS vector_id, model_hash FROM vec WHERE image_id > 0")
 def _(lib):
-    return tables.reset_vectors(lib.vec).select("vector_id")
+    """A reset store holds the vectors added after the reset only."""
+    rows = _vector_rows(lib)
+    kept, _ = tables.add_vectors(tables.reset_vectors(rows), rows.withColumn("vector_id", F.concat(F.lit("new"), "vector_id")), 64)
+    return kept.select("vector_id", "model_hash")
 
 
 @query("m18_tag_save_problems", "tag", """

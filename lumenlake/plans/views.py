@@ -69,16 +69,23 @@ class Library:
 
     @property
     def txt(self) -> DataFrame:
-        """Images of the text library; German ones are not extracted yet."""
+        """Images of the text library."""
         return self.table("documents").select(
             F.col("doc_id").alias("id"),
             F.concat("source", F.lit("_"), "lang", F.lit(".txt")).alias("original_file_name"),
             F.col("n_chars").alias("file_size"),
             F.sha1(F.col("text").cast("binary")).alias("hash"),
             F.lit(".TXT").alias("extension"),
-            F.when(F.col("lang") != "de", F.col("text")).alias("text_in_image"),
+            F.col("text").alias("text_in_image"),
         )
 
+    @property
+    def part_txt(self) -> DataFrame:
+        """The text library before German images are extracted."""
+        german = self.table("documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit(True).alias("_de"))
+        missing = F.when(F.col("_de").isNull(), F.col("text_in_image"))
+        return self.txt.join(german, "id", "left").withColumn("text_in_image", missing).drop("_de")
+
     @property
     def blob(self) -> DataFrame:
         """Stored files: all texts but those of one source, plus unreferenced benchmark texts."""
@@ -124,6 +131,10 @@ VIEW_SQL = {
         SELECT l_orderkey AS image_id, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS tag_id
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "txt": """
+        SELECT doc_id AS id, source || '_' || lang || '.txt' AS original_file_name, n_chars AS file_size,
+               sha1(text) AS hash, '.TXT' AS extension, text AS text_in_image
+        FROM documents""",
+    "part_txt": """
         SELECT doc_id AS id, source || '_' || lang || '.txt' AS original_file_name, n_chars AS file_size,
                sha1(text) AS hash, '.TXT' AS extension, CASE WHEN lang <> 'de' THEN text END AS text_in_image
         FROM documents""",

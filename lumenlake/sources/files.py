@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.functions.names import blob_entities, blob_key, extension_override, format_extension, image_format
+from lumenlake.functions.names import blob_entities, blob_key, extension_override, format_extension, image_format, image_size
 from lumenlake.functions.text import casefold
 
 # --- fixed values: suffixes taken up by discovery and by the flat scan ---
@@ -41,14 +41,20 @@ def discover_images(spark: SparkSession, folders: list[str], files: list[str] =
 
 
 def file_profiles(files: DataFrame) -> DataFrame:
-    """Name, size, sha1 and true extension of files (path, content); `error` for unknown formats (A4)."""
+    """Name, size, sha1, true extension, width and height of files (path, content); `error` for unknown formats (A4).
+
+    Width and height are read from headers of fixed shape (PNG, GIF, BMP) and null elsewhere: no image is decoded.
+    """
     fmt = image_format("content")
+    size = image_size("content", fmt)
     return files.select(
         "path",
         F.regexp_extract("path", "([^/]+)$", 1).alias("original_file_name"),
         F.length("content").cast("long").alias("file_size"),
         F.sha1("content").alias("hash"),
         format_extension(fmt).alias("extension"),
+        size["width"].alias("size_width"),
+        size["height"].alias("size_height"),
         F.when(fmt.isNull(), F.concat(F.lit("unknown image format: "), "path")).alias("error"),
     )
 

@@ -40,6 +40,8 @@ def test_compose_text(spark, blocks, expected):
 
 @pytest.mark.parametrize("content, fmt, extension", [
     (PNG, "PNG", ".png"), (b"\xff\xd8\xff\xe0", "JPEG", ".jpg"), (b"GIF89a..", "GIF", ".gif"), (b"BM", "BMP", ".bmp"), (b"MM\x00*", "TIFF", ".tif"),
+    (b"\x00\x00\x00\x1cftypavif....", "AVIF", ".avif"), (b"\x00\x00\x00\x18ftypheic", "HEIC", ".heic"), (b"\x00\x00\x00\x18ftypmif1", "HEIF", ".heif"),
+    (b"\x00\x00\x00\x0cjP  \r\n\x87\n", "JPEG2000", ".jp2"), (b"\x00\x00\x00\x18ftypmp42", None, None), (b"\x00\x00\x00\x18ftyp", None, None),
     (b"RIFF0000WEBPx", "WEBP", ".webp"), (b"RIFF0000WEB", None, None), (b"", None, None), (b"text", None, None),
 ])
 def test_formats(spark, content, fmt, extension):
@@ -48,6 +50,15 @@ def test_formats(spark, content, fmt, extension):
     assert tuple(frame.select(f, names.format_extension(f)).first()) == (fmt, extension)
 
 
+@pytest.mark.parametrize("content, size", [
+    (b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x01\x00\x02\x00\x00\x00\x05", (65538, 5)), (b"GIF87a\x02\x01\x03\x00", (258, 3)),
+    (b"BM" + bytes(16) + b"\x07\x00\x00\x00\xfe\xff\xff\xff", (7, 2)), (b"GIF89a\x02", (None, None)), (b"\xff\xd8\xff", (None, None)), (b"", (None, None)),
+])
+def test_sizes(spark, content, size):
+    frame = spark.createDataFrame([(bytearray(content),)], "c binary")
+    assert tuple(frame.select(names.image_size("c", names.image_format("c")).alias("s")).select("s.*").first()) == size
+
+
 def test_scalar_rules(spark):
     assert one(spark, names.extension_override("e"), e=" .PnG ") == ".png"
     assert [one(spark, names.extension_override("e"), e=e) for e in (".", "png", ".a b", ".-")] == [None] * 4
