@@ -440,7 +440,7 @@ def _(lib):
 
 
 @query("a9_cluster_lists", "vec knn", f"""{_CLUSTER_SQL}
-    SELECT m.threshold, cluster_id, size, string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members
+    SELECT m.threshold, cluster_id, size, 0 AS part, string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members
     FROM member m JOIN named USING (threshold, root) GROUP BY ALL""")
 def _(lib):
     return backup.cluster_lists(_clusters(lib))

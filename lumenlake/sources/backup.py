@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.names import from_iso8601, is_hash, is_rgb, is_set_path
-from lumenlake.operators.ordering import first_per_key
+from lumenlake.operators.ordering import first_per_key, skew_safe_lookup, with_global_index
 from lumenlake.operators.tables import require_none
 from lumenlake.schemas import BACKUP, IMAGE_ENTRY, TAG_ENTRY
 
@@ -115,15 +115,19 @@ def wide_curves(ranked: DataFrame, value: str, prefix: str, top_k: int) -> DataF
     return listed.select("query_id", *[F.get("_v", F.lit(i))[value].alias(f"{prefix}{i + 1}") for i in range(top_k)])
 
 
-def cluster_lists(clusters: DataFrame, max_members: int = 1_000_000) -> DataFrame:
+def cluster_lists(clusters: DataFrame, part_members: int = 100_000) -> DataFrame:
     """One row per cluster with its sorted members joined by `;`.
 
-    A list is one cell of a report; larger clusters than `max_members` are
-    refused, as they only fit the member table.
+    A cluster of more than `part_members` goes on in further rows, numbered by `part`
+    from 0, so that no cell and no task holds more than one part of it.
     """
-    require_none(clusters.where(F.col("size") > max_members).select("cluster_id", "size").distinct(), "clusters too large for a list")
+    keys = ["threshold", "cluster_id"]
+    placed = with_global_index(clusters, [*keys, "member_id"], "_i", 0)
+    starts = placed.groupBy(*keys).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    rows = skew_safe_lookup(placed, starts.select(*keys, "_start"), keys, "member_id", starts, "_rows")
+    part = F.floor((F.col("_i") - F.col("_start")) / part_members).cast("int")
     members = F.array_join(F.transform(F.array_sort(F.collect_list("member_id")), lambda m: m.cast("string")), ";")
-    return clusters.groupBy("threshold", "cluster_id", "size").agg(members.alias("members"))
+    return rows.groupBy(*keys, "size", part.alias("part")).agg(members.alias("members"))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -186,6 +186,13 @@ def test_backup_document(spark, tmp_path):
             backup.read_backup(spark, str(path))
 
 
+def test_large_clusters_go_on_in_parts(spark):
+    rows = [(0.3, "a", 5, m) for m in (9, 1, 10, 4, 7)] + [(0.3, "b", 2, 3), (0.3, "b", 2, 2), (0.4, "a", 1, 8)]
+    lists = backup.cluster_lists(spark.createDataFrame(rows, "threshold double, cluster_id string, size long, member_id long"), part_members=2)
+    got = sorted((r["threshold"], r["cluster_id"], r["part"], r["members"]) for r in lists.collect())
+    assert got == [(0.3, "a", 0, "1;4"), (0.3, "a", 1, "7;9"), (0.3, "a", 2, "10"), (0.3, "b", 0, "2;3"), (0.4, "a", 0, "8")]
+
+
 def test_curve_files(spark, tmp_path):
     ranked = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.75)], "query_id long, rank int, sim double")
     backup.write_csv(backup.wide_curves(ranked, "sim", "score_", 4), str(tmp_path / "scores"))
