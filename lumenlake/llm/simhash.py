@@ -32,11 +32,11 @@ PAIRS = 4_000_000
 _BLOCKS = BITS + 1
 
 
-def fingerprint(data: bytes, size: int = WORDS) -> int:
-    """SimHash of a text's `size`-word shingles; 0 without a word. A-Z are lower-cased, words end at ASCII blanks."""
+def shingle_hashes(data: bytes, size: int = WORDS) -> np.ndarray:
+    """Hashes of a text's `size`-word shingles, of all its words if it has fewer. A-Z are lower-cased, words end at ASCII blanks."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     text = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -45,7 +45,12 @@ def fingerprint(data: bytes, size: int = WORDS) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], ">u8")
+    return np.array([digest(text[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64)
+
+
+def fingerprint(data: bytes, size: int = WORDS) -> int:
+    """SimHash of a text's `size`-word shingles; 0 without a word."""
+    hashes = shingle_hashes(data, size).astype(">u8")
     ones = np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[first:first + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -222,15 +227,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(docs, id_col, text_col).select("doc_id", hexed.alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
+def kept_rows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs`, all columns, that `first` (doc_id, text_hash) names; of rows that repeat both id and text one stays."""
+    names = first.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    keyed = docs.withColumn("_row_id", F.col(id_col).cast("long")).withColumn(
+        "_row_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    kept = keyed.join(names, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
+    return kept.dropDuplicates(["_row_id", "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one document of each component stays: the one that names it.
 
     Of rows that repeat both id and text one stays.
     """
     first = _labelled(docs, id_col, text_col).where(
-        F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))
-    ).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    keyed = docs.withColumn("_row_id", F.col(id_col).cast("long")).withColumn(
-        "_row_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    kept = keyed.join(first, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
-    return kept.dropDuplicates(["_row_id", "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash")))
+    return kept_rows(docs, first, id_col, text_col)
