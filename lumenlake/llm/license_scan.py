@@ -21,7 +21,17 @@ SPELLINGS = (
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"),
     ("sublicence", "sublicense"), ("sub license", "sublicense"), ("per cent", "percent"), ("https", "http"),
 )
-# Lines that name a holder are no part of the licence.
+# Lines that name a holder are no part of the licence: 'copyright' with the sign, a year or a name, but not 'copyright notice' and
+# the like, with which a wrapped line of a licence begins. The line is cut up to the end of the name's sentence; an initial ends none.
+NO_NAME = (
+    r"acts?|and|claims?|disclaimers?|for|holders?|in|interests?|is|laws?|licen[cs]es?|licensors?|notices?|of|on|or|owners?|"
+    r"ownership|protection|rights?|statements?|terms|the|to|treaty|treaties"
+)
+HOLDER = (
+    r"(?md)^[ \t]*(?:(?:(?i:copyright)[ \t]*[:,]?[ \t]*(?:(?i:\(c\))|©|[0-9]{4}|(?i:by )|(?!(?i:" + NO_NAME + r")\b)\p{Lu})|(?i:\(c\))[ \t]*[0-9]{4}|©)"
+    r"[^\n]*?(?:(?=\n|\z)|(?<=[\p{L}\p{N})>]{2})\.(?=[ \t]+\p{Lu}))(?:[. \t]*(?i:all rights reserved)[. \t]*)?|(?i:all rights reserved)[. \t]*$)"
+)
+# The check SQL takes whole lines; where no line begins with 'copyright', as in the given tables, both say the same.
 HOLDER_LINE = r"(?m)^[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved[. \t]*)$"
 # Everything but letters and digits parts words; letters of all scripts count.
 BREAKS = r"[^\p{L}\p{N}]+"
@@ -31,8 +41,8 @@ BROADCAST_ROWS = 50_000
 
 
 def _plain(text: Column) -> Column:
-    """Lower case, no holder lines, one blank for punctuation and white space."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), HOLDER_LINE, " "), BREAKS, " "))
+    """Lower case, no holders, one blank for punctuation and white space."""
+    return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(text, HOLDER, " ")), BREAKS, " "))
 
 
 def _spelled(plain: Column) -> Column:
