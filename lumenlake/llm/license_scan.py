@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import computed_once
-from lumenlake.llm.license_texts import KNOWN
+from lumenlake.llm.license_texts import KNOWN, WHOLE
 
 # Spellings that mean the same in a licence.
 SPELLINGS = (
@@ -59,12 +61,19 @@ def _keys(plain: Column) -> dict[str, Column]:
             "last": F.substring_index(_spelled(F.substring_index(plain, " ", -3)), " ", -1)}
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(license, digest, first, last) of the given texts; its size is that of the given table."""
+def known_licenses(
+    spark: SparkSession, texts: dict[str, tuple[str, ...]] = KNOWN, whole: Sequence[tuple[str, str, str, str]] | None = None
+) -> DataFrame:
+    """(license, digest, first, last) of the given texts and ready rows; its size is that of the given table.
+
+    The rows `whole` default to the built-in ones where `texts` are, else to none.
+    """
     rows = [(name, text) for name, given in texts.items() for text in given]
     plain = spark.createDataFrame(rows, "license string, text string").select("license", _plain(F.col("text")).alias("plain"))
-    return plain.select("license", F.sha2(_spelled(F.col("plain")), 256).alias("digest"), *[
-        c.alias(name) for name, c in _keys(F.col("plain")).items()]).distinct()
+    known = plain.select("license", F.sha2(_spelled(F.col("plain")), 256).alias("digest"), *[
+        c.alias(name) for name, c in _keys(F.col("plain")).items()])
+    ready = (WHOLE if texts is KNOWN else ()) if whole is None else whole
+    return known.unionByName(spark.createDataFrame(list(ready), "license string, digest string, first string, last string")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
