@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import (
-    lattice_dedup, license_scan, line_templates, piece_codec, quality_rules, simhash, source_mix, suffix_dedup, token_counts, toxicity,
+    lattice_dedup, license_scan, line_templates, piece_codec, quality_rules, role_repair, simhash, source_audit, source_mix, suffix_dedup,
+    suffix_trees, token_counts, toxicity,
 )
 from lumenlake.llm.common import load
 
@@ -61,6 +62,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(load(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_trees.remove_repeats(load(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair_damaged(load(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -73,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -83,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_templates.SQL,
         "op7_quality_rules": quality_rules.SQL,
         "op10_source_mix": source_mix.SQL,
+        "op11_substring_dedup": suffix_trees.SQL,
+        "op13_source_divergence": source_audit.SQL,
     }
