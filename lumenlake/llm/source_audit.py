@@ -1,12 +1,12 @@
 """How far the sources of a language differ in their use of terms, with late string materialisation.
 
-Terms become fixed-width digests where the text is read. One pass writes a table of
-(language, source, digest, occurrences, documents, term); as it is stored by column,
-the counting below reads, shuffles and joins digests and numbers only. Terms take part
-in two places:
-  * one dictionary row per digest, its smallest and largest term: where they differ, two
-    terms share a digest, and the counts of that digest are made anew by term;
-  * the rows that are returned get their term from the dictionary at the very end.
+Terms become fixed-width digests where the text is read. One pass writes a table with
+two kinds of rows: counts (language, source, digest, occurrences, documents), and for
+each distinct term of a task one row with its digest and text. Counting then reads and
+shuffles digests and numbers only, once, by digest. Terms take part in two places:
+  * the smallest and largest term of each digest: where they differ, two terms share a
+    digest, and its counts are split by the term that the digest stands for in each task;
+  * the rows that are returned get their term at the very end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ from lumenlake.llm.window_hash import hashes, mix, powers, prefix_sums
 MIN_DOCS = 30
 TOP_TERMS = 50
 # Bytes of text handled at once, distinct rows that a task gathers before it hands them on, cells of one dense block.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 GATHERED = 1 << 20
 CELLS = 1 << 21
 
-_COUNTS = "lang string, source string, digest long, count long, docs long, term string"
+_COUNTS = "part long, lang string, source string, digest long, count long, docs long, term string"
 _PAIRS = "lang string, a string, b string, value long"
 _TERM = ["lang", "digest", "text"]
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -97,6 +99,11 @@ def _merge(parts: list[tuple]) -> tuple:
             np.add.reduceat(docs[by], at) if len(at) else docs, terms.take(pa.array(first)))
 
 
+def _batch(part: int, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), part)), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
+                                      names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
 def _count(bits: int, chunk: int, gathered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of each task's terms by language and source; `bits` of the digest are used."""
     mask = np.uint64((1 << bits) - 1)
@@ -104,14 +111,23 @@ def _count(bits: int, chunk: int, gathered: int) -> Callable[[Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[tuple[str, str], int] = {}
         done: list[tuple] = []
+        parts = [0]
 
         def out() -> Iterator[pa.RecordBatch]:
-            group, digest, _, count, docs, terms = _merge(done)
+            group, digest, second, count, docs, terms = _merge(done)
             names = list(numbers)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n[i] for n in names], pa.string()).take(pa.array(group)) for i in (0, 1)]
-                + [pa.array(digest.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(docs.astype(np.int64)), terms],
-                names=[c.split()[0] for c in _COUNTS.split(", ")])
+            by = np.lexsort((second, digest))
+            word = by[_edges(digest[by], second[by])]
+            # Digests that stand for several terms here; their counts carry the term at once.
+            several = digest[word][1:][digest[word][1:] == digest[word][:-1]]
+            own = pc.if_else(pa.array(np.isin(digest, several)), terms, pa.scalar(None, pa.string()))
+            part = (TaskContext.get().partitionId() << 32) + parts[0]
+            parts[0] += 1
+            blank = pa.nulls(len(word))
+            yield _batch(part, [*(pa.array([n[i] for n in names], pa.string()).take(pa.array(group)) for i in (0, 1)),
+                                digest.view(np.int64), count.astype(np.int64), docs.astype(np.int64), own])
+            yield _batch(part, [blank.cast(pa.string()), blank.cast(pa.string()), digest[word].view(np.int64), blank.cast(pa.int64()),
+                                blank.cast(pa.int64()), terms.take(pa.array(word))])
 
         for batch in batches:
             names = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
@@ -125,7 +141,7 @@ def _count(bits: int, chunk: int, gathered: int) -> Callable[[Iterator[pa.Record
                     texts, groups, size = [], [], 0
                     if sum(len(d[0]) for d in done) > gathered:
                         done = [_merge(done)]
-                        if 2 * len(done[0][0]) > gathered:
+                        if 4 * len(done[0][0]) > 3 * gathered:
                             yield from out()
                             done, numbers = [], {}
         if done:
@@ -198,18 +214,19 @@ def audit(
                         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
                         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     table = stored(named.mapInArrow(_count(bits, chunk, gathered), _COUNTS), scratch)
-    sums = [F.sum("count").alias("count"), F.sum("docs").alias("docs")]
-    counts = table.groupBy("lang", "source", "digest").agg(*sums)
-    # A term in enough rows has a digest in enough rows.
-    likely = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("digest").distinct()
-    words = table.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
-    words = stored(words.join(likely, "digest", "left_semi"), kept_tables := [])
-    mixed = words.where("least <> most").select("digest")
-    split = table.join(mixed, "digest", "left_semi").groupBy("lang", "source", "digest", F.col("term").alias("text")).agg(*sums)
+    counts = table.where("count IS NOT NULL")
+    words = table.where("count IS NULL").select("part", "digest", F.col("term").alias("word"))
+    spread = words.select("digest", "word").groupBy("digest").agg(F.min("word").alias("least"), F.max("word").alias("most"))
+    mixed = stored(spread.where("least <> most").select("digest"), kept_tables := [])
+    split = counts.join(mixed, "digest", "left_semi").join(words.join(mixed, "digest", "left_semi"), ["part", "digest"]).where(
+        "term IS NULL OR term = word").withColumn("text", F.col("word"))
     plain = counts.join(mixed, "digest", "left_anti").withColumn("text", F.lit(""))
+    numbers = ["lang", "source", "digest", "text", "count", "docs"]
     term = Window.partitionBy(*_TERM)
+    # Everything below that needs a term's rows together finds them together: one shuffle, by digest.
     cells = stored(
-        plain.unionByName(split)
+        plain.select(numbers).unionByName(split.select(numbers)).repartition("digest")
+        .groupBy("lang", "source", "digest", "text").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
         .withColumns({"in_docs": F.sum("docs").over(term), "total": F.sum("count").over(term),
                       "first": F.row_number().over(term.orderBy("source")) == 1})
         .where(F.col("in_docs") >= min_docs).select("lang", "source", "digest", "text", "count", "total", "first"), kept_tables)
@@ -236,10 +253,13 @@ def audit(
     q = _share(F.col("total"), F.col("all"), F.col("v"))
     over = shares.select("lang", "source", "digest", "text", (F.col("p") - q).alias("value")).where("value > 0")
     # Ties with the last value stay until their terms are known.
-    first = over.withColumn("rank", F.rank().over(group.orderBy(F.col("value").desc()))).where(F.col("rank") <= top_terms)
-    item = F.when(F.col("text") == "", F.col("least")).otherwise(F.col("text"))
-    top = (first.join(words, "digest").select("lang", "source", item.alias("item"), "value")
+    first = stored(over.withColumn("rank", F.rank().over(group.orderBy(F.col("value").desc()))).where(F.col("rank") <= top_terms), kept_tables)
+    wanted = first.where("text = ''").select("digest").distinct()
+    names = words.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("word").alias("word"))
+    item = F.when(F.col("text") == "", F.col("word")).otherwise(F.col("text"))
+    top = (first.join(names, "digest", "left").select("lang", "source", item.alias("item"), "value")
            .withColumn("rank", F.row_number().over(group.orderBy(*order))).where(F.col("rank") <= top_terms))
+    top = stored(top, kept_tables)
 
     columns = ["lang", "source", "part", "item", "value", "rank"]
     out = pair.withColumn("part", F.lit("pair")).select(columns).unionByName(top.withColumn("part", F.lit("term")).select(columns))
