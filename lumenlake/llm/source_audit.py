@@ -26,8 +26,8 @@ from lumenlake.llm.window_hash import hashes, mix, powers, prefix_sums
 MIN_DOCS = 30
 TOP_TERMS = 50
 # Bytes of text handled at once, distinct rows that a task gathers before it hands them on, cells of one dense block.
-CHUNK = 1 << 20
-GATHERED = 1 << 20
+CHUNK = 1 << 19
+GATHERED = 1 << 19
 CELLS = 1 << 21
 
 _COUNTS = "part long, lang string, source string, digest long, count long, docs long, term string"
@@ -99,9 +99,11 @@ def _merge(parts: list[tuple]) -> tuple:
             np.add.reduceat(docs[by], at) if len(at) else docs, terms.take(pa.array(first)))
 
 
-def _batch(part: int, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), part)), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
-                                      names=[c.split()[0] for c in _COUNTS.split(", ")])
+def _batches(part: int, columns: list, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of the counted table, in small batches."""
+    table = pa.Table.from_arrays([pa.array(np.full(len(columns[0]), part)), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
+                                 names=[c.split()[0] for c in _COUNTS.split(", ")])
+    yield from table.to_batches(max_chunksize=rows)
 
 
 def _count(bits: int, chunk: int, gathered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -124,9 +126,9 @@ def _count(bits: int, chunk: int, gathered: int) -> Callable[[Iterator[pa.Record
             part = (TaskContext.get().partitionId() << 32) + parts[0]
             parts[0] += 1
             blank = pa.nulls(len(word))
-            yield _batch(part, [*(pa.array([n[i] for n in names], pa.string()).take(pa.array(group)) for i in (0, 1)),
+            yield from _batches(part, [*(pa.array([n[i] for n in names], pa.string()).take(pa.array(group)) for i in (0, 1)),
                                 digest.view(np.int64), count.astype(np.int64), docs.astype(np.int64), own])
-            yield _batch(part, [blank.cast(pa.string()), blank.cast(pa.string()), digest[word].view(np.int64), blank.cast(pa.int64()),
+            yield from _batches(part, [blank.cast(pa.string()), blank.cast(pa.string()), digest[word].view(np.int64), blank.cast(pa.int64()),
                                 blank.cast(pa.int64()), terms.take(pa.array(word))])
 
         for batch in batches:
