@@ -27,8 +27,10 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 # Bytes of text handled at once, distinct rows that a task gathers before it hands them on, cells of one dense block.
 CHUNK = 1 << 19
-GATHERED = 1 << 19
-CELLS = 1 << 21
+GATHERED = 3 << 18
+CELLS = 1 << 16
+# A block has so many terms on average at least, however many sources there are.
+TERMS = 16
 
 _COUNTS = "part long, lang string, source string, digest long, count long, docs long, term string"
 _PAIRS = "lang string, a string, b string, value long"
@@ -241,7 +243,8 @@ def audit(
         .fillna(none).join(groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")), "lang"), kept_tables)
     shares = cells.join(stats, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("n"), F.col("v")))
 
-    blocks = F.lit(1) + F.call_function("div", F.col("v") * F.col("sources"), F.lit(cells_per_block))
+    full = F.call_function("div", F.col("v") * F.col("sources"), F.lit(cells_per_block))
+    blocks = F.lit(1) + F.least(full, F.call_function("div", F.col("v"), F.lit(TERMS)))
     in_block = shares.select("lang", F.pmod(F.xxhash64("digest", "text"), blocks).alias("block"), F.lit(1).alias("kind"), "digest", "text", "source", "p")
     base = stats.select(
         "lang", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("digest"),
