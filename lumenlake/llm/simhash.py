@@ -229,11 +229,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def kept_rows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs`, all columns, that `first` (doc_id, text_hash) names; of rows that repeat both id and text one stays."""
-    names = first.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    keyed = docs.withColumn("_row_id", F.col(id_col).cast("long")).withColumn(
-        "_row_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    kept = keyed.join(names, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
-    return kept.dropDuplicates(["_row_id", "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Keys without nulls: the join and the choice of one row then share one shuffle of the texts.
+    keys = ["id", "no_id", "text_hash"]
+    names = first.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash").distinct()
+    name = F.col(id_col).cast("long")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(name, F.lit(0)).alias("id"), name.isNull().alias("no_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"))
+    kept = rows.join(names, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,7 +50,8 @@ def rows():
 
 
 @pytest.mark.parametrize("limits", [{}, {"bits": 3, "chunk": 60, "gathered": 8, "cells_per_block": 4}])
-def test_equals_plain_count(spark, rows, limits):
+def test_equals_plain_count(spark, rows, limits, monkeypatch):
+    monkeypatch.setattr(source_audit, "TERMS", 1)
     df = spark.createDataFrame(rows, "lang string, source string, text string")
     df = df.withColumns({c: F.lit("clash") for c in ("digest", "term", "value", "count", "data", "v")})
     got = source_audit.audit(df, min_docs=12, top_terms=4, **limits)
