@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,12 @@ class _Item:
     stage: str | None = None
 
     def fail(self, stage: str, e: BaseException) -> None:
-        self.value, self.error, self.stage = None, f"{type(e).__name__}: {e}", stage
+        kind, text = type(e).__name__, str(e)
+        self.value, self.error, self.stage = None, f"{kind}: {text}" if text else kind, stage
+
+
+class WrongResultCount(ValueError):
+    """A batch stage broke its contract: it did not return one result per value. This ends the job, not the rows."""
 
 
 @dataclass
@@ -71,10 +77,12 @@ class _Worker:
                     if isinstance(stage, BatchStage):
                         out = list(stage.run([item.value for item in group], *args))
                         if len(out) != len(group):
-                            raise ValueError(f"{len(out)} results for {len(group)} values")
+                            raise WrongResultCount(f"stage {stage.name}: {len(out)} results for {len(group)} values")
                     else:
                         out = [stage.run(group[0].value, *args)]
-                except Exception as e:  # noqa: BLE001 - any failure belongs to its rows
+                except WrongResultCount:
+                    raise
+                except Exception as e:  # noqa: BLE001 - any other failure belongs to its rows
                     for item in group:
                         item.fail(stage.name, e)
                 else:
@@ -85,8 +93,10 @@ class _Worker:
 def run_stages(rows: DataFrame, key: str, value: str, stages: Sequence[ItemStage | BatchStage], result_type: str) -> DataFrame:
     """(key, value, error, stage): one result per row, in the rows' own partitions (H1).
 
-    A failing value is reported as `Type: message` with its stage; a failing batch
-    fails all its rows and no others.
+    A failing value is reported as `Type: message`, or the type alone where there is no
+    message, with its stage; a failing batch fails all its rows and no others. A batch
+    stage that returns another number of results ends the job. Stages see values as
+    Python objects of the column's own type: a null is None, a whole number stays one.
     """
     if not stages:
         raise ValueError("a job needs at least one stage")
@@ -96,19 +106,18 @@ def run_stages(rows: DataFrame, key: str, value: str, stages: Sequence[ItemStage
         T.StructField("error", T.StringType()), T.StructField("stage", T.StringType()),
     ])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Worker(stages)
-        for pdf in batches:
-            items = [_Item(v) for v in pdf[value].tolist()]
+        for batch in batches:
+            items = [_Item(v) for v in batch.column(value).to_pylist()]
             worker.process(items)
-            yield pd.DataFrame({
-                key: pdf[key],
-                "value": pd.Series([i.value for i in items], dtype=object, index=pdf.index),
-                "error": pd.Series([i.error for i in items], dtype=object, index=pdf.index),
-                "stage": pd.Series([i.stage for i in items], dtype=object, index=pdf.index),
-            })
-
-    return rows.select(key, value).mapInPandas(run, schema)
+            columns = [[i.value for i in items], [i.error for i in items], [i.stage for i in items]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).cast(arrow.field(0).type), *[pa.array(c, arrow.field(i).type) for i, c in enumerate(columns, 1)]], schema=arrow)
+
+    return rows.select(key, value).mapInArrow(run, schema)
 
 
 def job_summary(results: DataFrame, by_stage: bool = False) -> DataFrame:

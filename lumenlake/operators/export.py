@@ -84,8 +84,9 @@ def image_entries(planned: DataFrame, zone: str = "UTC") -> DataFrame:
 
 
 def tag_entries(tags: DataFrame) -> DataFrame:
-    """Backup entries of the tags by (order, id)."""
-    return tags.orderBy("order", "id").select("name", F.col("color_rgb").alias("rgb"), "order", "description", "enabled")
+    """Backup entries of the tags, with their `position` by (order, id)."""
+    placed = with_global_index(tags, ["order", "id"], "position", 0)
+    return placed.select("name", F.col("color_rgb").alias("rgb"), "order", "description", "enabled", "position")
 
 
 def integrity_violations(images: DataFrame, files: DataFrame) -> DataFrame:

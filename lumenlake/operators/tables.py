@@ -30,31 +30,48 @@ def require_none(violations: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {[tuple(r) for r in shown]}")
 
 
-def last_changes(change: DataFrame, key: str, position: str | None) -> DataFrame:
-    """The row of each key with the largest `position`; the frame as it is without a position."""
-    return change if position is None else first_per_key(change, [key], [F.col(position).desc()])
+def last_changes(change: DataFrame, key: str | Sequence[str], position: str | None) -> DataFrame:
+    """One row per key: the one with the largest `position`; without a position, repeated keys abort."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if position is not None:
+        return first_per_key(change, keys, [F.col(position).desc()])
+    repeated = change.groupBy(*keys).count().where("count > 1").select(*keys)
+    require_none(repeated, f"repeated {', '.join(keys)} in a change without a position")
+    return change
 
 
 def update_columns(
     table: DataFrame, change: DataFrame, columns: Sequence[str], key: str = "id", position: str | None = None
 ) -> DataFrame:
-    """Set `columns` of matching rows; null is a value like any other, unknown keys are ignored (M4)."""
+    """Set `columns` of matching rows; null is a value like any other, unknown keys are ignored (M4).
+
+    Of rows that repeat a key the last by `position` counts; without a position they abort.
+    """
     change = last_changes(change, key, position)
     new = change.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = table.join(new, key, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
-def replace_vector_ids(images: DataFrame, change: DataFrame) -> DataFrame:
+def replace_vector_ids(images: DataFrame, change: DataFrame, position: str | None = None) -> DataFrame:
     """M4 for vector ids, but any unknown image aborts (M5)."""
     require_none(missing_keys(change, images), "unknown images")
-    return update_columns(images, change, ["vector_id"])
+    return update_columns(images, change, ["vector_id"], position=position)
 
 
-def overwrite_images(images: DataFrame, links: DataFrame, rows: DataFrame, new_links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace whole rows by id with their exact tag sets; unknown ids are skipped (M6)."""
-    known = rows.join(images.select("id"), "id", "left_semi")
+def overwrite_images(
+    images: DataFrame, links: DataFrame, rows: DataFrame, new_links: DataFrame, position: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Replace whole rows by id with their exact tag sets; unknown ids are skipped (M6).
+
+    With a `position`, a column of `rows` and `new_links`, an id may repeat: its last row
+    counts, with the tags of that row alone.
+    """
+    known = last_changes(rows, "id", position).join(images.select("id"), "id", "left_semi")
     ids = known.select(F.col("id").alias("image_id"))
+    if position is not None:
+        of_last = known.select(F.col("id").alias("image_id"), position)
+        new_links = new_links.join(of_last, ["image_id", position], "left_semi")
     kept_images = images.join(known.select("id"), "id", "left_anti")
     kept_links = links.join(ids, "image_id", "left_anti")
     set_links = new_links.select("image_id", "tag_id").distinct().join(ids, "image_id", "left_semi")
@@ -68,9 +85,15 @@ def file_property_problems(change: DataFrame, images: DataFrame) -> DataFrame:
     return joined.where(F.col("extension").isNull() | bad_name).select("id", "original_file_name")
 
 
-def update_file_properties(images: DataFrame, change: DataFrame) -> DataFrame:
-    """Rename and re-date images (id, original_file_name, modification_date); null keeps the value (M7)."""
-    new = change.select("id", F.col("original_file_name").alias("_name"), F.col("modification_date").alias("_date"))
+def update_file_properties(images: DataFrame, change: DataFrame, position: str | None = None) -> DataFrame:
+    """Rename and re-date images (id, original_file_name, modification_date); null keeps the value (M7).
+
+    With a `position` an id may repeat: the last name and the last date that are not null count.
+    """
+    if position is not None:
+        change = change.groupBy("id").agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(c) for c in ("original_file_name", "modification_date")])
+    new = last_changes(change, "id", None).select("id", F.col("original_file_name").alias("_name"), F.col("modification_date").alias("_date"))
     joined = images.join(new, "id", "left")
     name = F.coalesce(normalised_file_name("_name", "extension"), "original_file_name")
     return joined.withColumn("original_file_name", name).withColumn("modification_date", F.coalesce("_date", "modification_date")).select(*images.columns)
@@ -87,7 +110,7 @@ def upsert_tags(tags: DataFrame, incoming: DataFrame, position: str | None = Non
 
     By id all fields are overwritten. Without an id the name decides: fields are
     overwritten but the order is kept. What is left becomes a new tag whose order
-    is the largest in use. With a `position` (unique) a name or id may repeat: its last
+    is the largest in use. With a `position` (unique) a name or id may repeat (else it aborts): its last
     row counts, and new tags are numbered by the first row of their name, not by name.
     """
     fields = [c for c in incoming.columns if c in tags.columns and c not in ("id", position)]
@@ -97,7 +120,9 @@ def upsert_tags(tags: DataFrame, incoming: DataFrame, position: str | None = Non
     changed = update_columns(changed, by_name.drop("id"), [c for c in fields if c not in ("name", "order")], "name", position)
     unknown_id = incoming.where("id IS NOT NULL").join(tags.select("id"), "id", "left_anti")
     unknown_name = incoming.where("id IS NULL").join(tags.select("name"), "name", "left_anti")
-    if position is not None:
+    if position is None:
+        unknown_name = last_changes(unknown_name, "name", None)
+    else:
         last = F.max(position).over(Window.partitionBy("name"))
         first = F.min(position).over(Window.partitionBy("name"))
         unknown_name = unknown_name.withColumns({"_last": last, "_first": first}).where(F.col(position) == F.col("_last"))
@@ -166,10 +191,10 @@ def add_vectors(vectors: DataFrame, incoming: DataFrame, dimension: int) -> tupl
     return vectors.unionByName(valid), checked.where("problem IS NOT NULL")
 
 
-def update_vectors(vectors: DataFrame, change: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Overwrite vectors or metadata columns by vector id; unknown ids abort."""
+def update_vectors(vectors: DataFrame, change: DataFrame, columns: Sequence[str], position: str | None = None) -> DataFrame:
+    """Overwrite vectors or metadata columns by vector id; unknown ids abort, repeated ones as in `update_columns`."""
     require_none(missing_keys(change, vectors, "vector_id"), "unknown vectors")
-    return update_columns(vectors, change, columns, "vector_id")
+    return update_columns(vectors, change, columns, "vector_id", position)
 
 
 def reset_vectors(vectors: DataFrame) -> DataFrame:

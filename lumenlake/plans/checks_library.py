@@ -83,33 +83,72 @@ def _(lib):
     return names.blob_entities(lib.txt.join(docs, "id").select(path.alias("path"))).select("hash", "extension")
 
 
-@query("a6_image_problems", "txt", """
-    SELECT id AS position, CASE WHEN lang = 'fr' THEN 'path' WHEN lang = 'es' THEN 'hash' ELSE 'imported_at' END AS problem
-    FROM txt JOIN documents ON doc_id = id WHERE lang <> 'en'""")
-def _(lib):
-    docs = lib.table("documents")
-    records = docs.select(
-        F.col("doc_id").alias("position"),
-        F.concat(F.when(F.col("lang") == "fr", F.lit("set_0/")).otherwise(F.lit("set_1/")), "source").alias("path"),
-        F.when(F.col("lang") == "es", F.md5(F.col("text").cast("binary"))).otherwise(F.sha1(F.col("text").cast("binary"))).alias("hash"),
-        F.array("lang").alias("tags"),
-        F.when(F.col("lang") == "de", F.lit("2026-13-01T00:00:00Z")).otherwise(F.lit("2026-01-01T00:00:00Z")).alias("imported_at"),
-        F.lit("2026-01-01T08:00:00").alias("modification_date"),
-    )
-    return backup.image_problems(records).withColumn("position", F.col("position"))
-
-
-@query("a6_tag_problems", "", """
-    SELECT position, CASE WHEN p_size > 40 THEN 'rgb' ELSE 'order' END AS problem
-    FROM (SELECT min(p_partkey) AS position, arg_min(p_size, p_partkey) AS p_size FROM part GROUP BY p_name) WHERE p_size > 40 OR p_size < 10""")
-def _(lib):
-    records = lib.table("part").select(
-        F.col("p_partkey").alias("position"), F.col("p_name").alias("name"),
-        F.when(F.col("p_size") > 40, F.lit("#12345")).otherwise(F.lit("#12aBcD")).alias("rgb"),
-        F.when(F.col("p_size") < 10, F.lit("-1")).otherwise(F.col("p_size").cast("string")).alias("order"),
-        F.lit("true").alias("enabled"), F.lit(None).cast("string").alias("description"),
-    )
-    return backup.tag_problems(records)
+# One rule a row: what stands in for a field of a good record, and the rule that it breaks.
+_IMAGE_CASES = [
+    ({}, None), ({"path": '"set_0/a.png"'}, "path"), ({"path": "7"}, "path"), ({"path": '"set_1/.."'}, "path"), ({"hash": '"a1b2"'}, "hash"),
+    ({"hash": None}, "hash"), ({"text_in_image": "5"}, "text_in_image"), ({"text_in_image": '"seen"'}, None), ({"tags": None}, "tags"),
+    ({"tags": '["a", 3]'}, "tags"), ({"tags": "[null]"}, "tags"), ({"tags": '"a"'}, "tags"), ({"imported_at": "20260101"}, "imported_at"),
+    ({"imported_at": '"2026-13-01T00:00:00"'}, "imported_at"), ({"modification_date": "null"}, "modification_date"),
+    ({"modification_date": '"2026-01-01T00:00:00+08:00"'}, None), (None, "record"),
+]
+_TAG_CASES = [
+    ({}, None), ({"name": "3"}, "name"), ({"name": '""'}, "name"), ({"rgb": '"#12345"'}, "rgb"), ({"rgb": "123456"}, "rgb"), ({"order": '"7"'}, "order"),
+    ({"order": "-1"}, "order"), ({"order": "7.5"}, "order"), ({"order": "true"}, "order"), ({"enabled": '"true"'}, "enabled"), ({"enabled": "1"}, "enabled"),
+    ({"description": "3"}, "description"), ({"description": '"shown"'}, None), (None, "record"),
+]
+_HEADER_CASES = [
+    ({}, []), ({"format_version": '"1"'}, ["format_version"]), ({"format_version": "2"}, ["format_version"]), ({"hash_algorithm": '"md5"'}, ["hash_algorithm"]),
+    ({"hash_algorithm": None, "images": "{}"}, ["hash_algorithm", "images"]), ({"tags": "null"}, ["tags"]),
+]
+
+
+def _json_cases(good: dict, cases: list, case: str):
+    """The JSON text of the case that a row's column `case` names; values of `good` that are columns are quoted."""
+    out = None
+    for number, (change, _) in enumerate(cases):
+        if change is None:
+            text = F.lit("[1]")
+        else:
+            fields = [(k, change.get(k, v)) for k, v in good.items()]
+            parts = [F.concat(F.lit(f'"{k}": '), F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2) if not isinstance(v, str) else F.lit(v))
+                     for k, v in fields if v is not None]
+            text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+        out = F.when(F.col(case) == number, text) if out is None else out.when(F.col(case) == number, text)
+    return out
+
+
+def _sql_cases(cases: list, case: str) -> str:
+    return f"CASE {case} " + " ".join(f"WHEN {i} THEN '{p}'" for i, (_, p) in enumerate(cases) if p) + " END"
+
+
+@query("a6_image_problems", "", f"""WITH c AS (SELECT doc_id AS position, {_sql_cases(_IMAGE_CASES, f"doc_id % {len(_IMAGE_CASES)}")} AS problem FROM documents)
+    SELECT position, problem FROM c WHERE problem IS NOT NULL""")
+def _(lib):
+    good = {"path": F.concat(F.lit("set_1/"), "source"), "hash": F.sha1(F.col("text").cast("binary")), "imported_at": '"2026-01-01T00:00:00Z"',
+            "modification_date": '"2026-01-01T08:00:00"', "tags": '["a", "b"]', "text_in_image": "null"}
+    docs = lib.table("documents").withColumn("case", F.col("doc_id") % len(_IMAGE_CASES))
+    return backup.image_problems(docs.select(F.col("doc_id").alias("position"), F.parse_json(_json_cases(good, _IMAGE_CASES, "case")).alias("record")))
+
+
+@query("a6_tag_problems", "", f"""WITH
+    named AS (SELECT p_partkey AS position, p_partkey % {len(_TAG_CASES)} AS k, CASE WHEN p_partkey % {len(_TAG_CASES)} IN (1, 2, 13) THEN 'none' || p_partkey ELSE p_name END AS name FROM part),
+    c AS (SELECT min(position) AS position, arg_min(k, position) AS k FROM named GROUP BY name),
+    judged AS (SELECT position, {_sql_cases(_TAG_CASES, "k")} AS problem FROM c)
+    SELECT position, problem FROM judged WHERE problem IS NOT NULL""")
+def _(lib):
+    good = {"name": F.col("p_name"), "rgb": '"#12aBcD"', "order": F.col("p_size"), "enabled": "true", "description": "null"}
+    part = lib.table("part").withColumn("case", F.col("p_partkey") % len(_TAG_CASES))
+    return backup.tag_problems(part.select(F.col("p_partkey").alias("position"), F.parse_json(_json_cases(good, _TAG_CASES, "case")).alias("record")))
+
+
+@query("a6_header_problems", "", f"""WITH c AS (SELECT doc_id, unnest(CASE doc_id % {len(_HEADER_CASES)} {" ".join(f"WHEN {i} THEN {p}" for i, (_, p) in enumerate(_HEADER_CASES) if p)} END) AS problem FROM documents)
+    SELECT doc_id, problem FROM c""")
+def _(lib):
+    good = {"format_version": "1", "hash_algorithm": '"sha1"', "images": F.array("lang"), "tags": "[]"}
+    docs = lib.table("documents").withColumn("case", F.col("doc_id") % len(_HEADER_CASES))
+    document = F.parse_json(_json_cases(good, _HEADER_CASES, "case"))
+    fields = [F.try_variant_get("d", f"$.{f}", "variant").alias(f) for f in good]
+    return backup.header_problems(docs.select("doc_id", document.alias("d")).select("doc_id", *fields), ["doc_id"])
 
 
 def _export_images(lib):
@@ -130,16 +169,17 @@ def _(lib):
 
 @query("a7_backup_round_trip", "txt", f""", {_SETS}
     SELECT 'set_' || (set_index + 1) || '/' || original_file_name AS path, hash, TIMESTAMP '2026-01-02 03:04:05' AS imported_at, text_in_image,
-           'untagged,' || split_part(original_file_name, '_', 1) AS tags FROM dealt""")
+           'untagged,' || split_part(original_file_name, '_', 1) AS tags,
+           row_number() OVER (ORDER BY set_index, 'set_' || (set_index + 1) || '/' || original_file_name) - 1 AS position FROM dealt""")
 def _(lib):
     planned = export.assign_sets(_export_images(lib), max_files_per_set=10)
     source = F.split("original_file_name", "_")[0]
     tagged = export.sort_tag_names(planned.withColumn("tag_names", F.array(source, F.lit("untagged"))), lib.tag.select(F.lit(0).cast("long").alias("id"), F.lit("untagged").alias("name"), F.lit(0).alias("order")).distinct())
     entries = export.image_entries(tagged.withColumn("tag_names", F.col("sorted_names")))
     folder = _scratch(lib)
-    backup.write_backup(entries, export.tag_entries(lib.tag.withColumn("description", F.lit(None).cast("string"))), folder)
-    images, _ = backup.read_backup_tables(lib.spark, folder)
-    return images.select("path", "hash", "imported_at", "text_in_image", F.array_join("tag_names", ",").alias("tags"))
+    backup.write_backup(entries, export.tag_entries(lib.tag.withColumn("description", F.lit(None).cast("string"))), folder, "2026-01-02T03:04:05Z")
+    images, _ = backup.read_backup_tables(lib.spark, folder, paths=entries.select("path"))
+    return images.select("path", "hash", "imported_at", "text_in_image", F.array_join("tag_names", ",").alias("tags"), "position")
 
 
 @query("e6_sorted_tag_names", "tag", """,

@@ -143,6 +143,60 @@ def _(lib):
     return tables.file_property_problems(change, lib.img)
 
 
+def _edit_log(lib):
+    """Every order edits the image whose id is its customer; later orders come later."""
+    return lib.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("position"), F.col("o_orderdate").alias("day"))
+
+
+@query("m6_overwrite_repeats", "img img_tag", """,
+    last AS (SELECT o_custkey AS id, max(o_orderkey) AS position FROM orders GROUP BY 1)
+    SELECT i.id, coalesce('order' || l.position, i.original_file_name) AS original_file_name,
+           coalesce(CAST(l.position % 40 + 1 AS BIGINT), (SELECT CAST(sum(tag_id) AS BIGINT) FROM img_tag t WHERE t.image_id = i.id), 0) AS tags
+    FROM img i LEFT JOIN last l USING (id)""")
+def _(lib):
+    log = _edit_log(lib)
+    rows = lib.img.join(log, "id").withColumn("original_file_name", F.concat(F.lit("order"), "position"))
+    tag_sets = log.select(F.col("id").alias("image_id"), "position", (F.col("position") % 40 + 1).alias("tag_id"))
+    images, links = tables.overwrite_images(lib.img, lib.img_tag, rows, tag_sets, "position")
+    sums = links.groupBy(F.col("image_id").alias("id")).agg(F.sum("tag_id").alias("tags"))
+    return images.join(sums, "id", "left").select("id", "original_file_name", F.coalesce("tags", F.lit(0)).alias("tags"))
+
+
+@query("m7_file_property_repeats", "img", """,
+    log AS (SELECT o_custkey AS id, o_orderkey AS position, CASE WHEN o_orderkey % 3 = 1 THEN 'order' || o_orderkey || '.png' END AS name,
+                   CASE WHEN o_orderkey % 5 = 1 THEN o_orderdate END AS day FROM orders),
+    last AS (SELECT id, arg_max(name, position) FILTER (WHERE name IS NOT NULL) AS name, arg_max(day, position) FILTER (WHERE day IS NOT NULL) AS day FROM log GROUP BY id)
+    SELECT i.id, coalesce(name, original_file_name) AS original_file_name, coalesce(day, modification_date) AS modification_date FROM img i LEFT JOIN last USING (id)""")
+def _(lib):
+    name = F.when(F.col("position") % 3 == 1, F.concat(F.lit("order"), "position", F.lit(".PNG")))
+    change = _edit_log(lib).select("id", "position", name.alias("original_file_name"), F.when(F.col("position") % 5 == 1, F.col("day")).alias("modification_date"))
+    return tables.update_file_properties(lib.img, change, "position").select("id", "original_file_name", "modification_date")
+
+
+@query("m15_update_repeats", "vec", """,
+    last AS (SELECT 'v' || o_custkey AS vector_id, 'm' || max(o_orderkey) AS model_hash FROM orders WHERE 'v' || o_custkey IN (SELECT vector_id FROM vec) GROUP BY 1)
+    SELECT vector_id, coalesce(l.model_hash, v.model_hash) AS model_hash FROM vec v LEFT JOIN last l USING (vector_id)""")
+def _(lib):
+    log = _edit_log(lib).select(F.concat(F.lit("v"), "id").alias("vector_id"), "position", F.concat(F.lit("m"), "position").alias("model_hash"))
+    known = log.join(lib.vec.select("vector_id"), "vector_id", "left_semi")
+    return tables.update_vectors(lib.vec, known, ["model_hash"], "position").select("vector_id", "model_hash")
+
+
+@query("m9_upsert_repeats", "tag", """,
+    log AS (SELECT o_orderkey AS position, o_orderpriority AS name, o_orderkey % 7 AS n FROM orders UNION ALL
+            SELECT -event_id - 1, 'Brand#' || (event_id % 30), event_id % 9 FROM events),
+    last AS (SELECT name, min(position) AS first, arg_max(n, position) AS n FROM log GROUP BY name)
+    SELECT t.id, t.name, t."order", coalesce('#00000' || n, color_rgb) AS color_rgb FROM tag t LEFT JOIN last USING (name)
+    UNION ALL SELECT (SELECT max(id) FROM tag) + row_number() OVER (ORDER BY first), name, (SELECT max("order") FROM tag), '#00000' || n
+    FROM last WHERE name NOT IN (SELECT name FROM tag)""")
+def _(lib):
+    color = F.concat(F.lit("#00000"), "n")
+    orders = lib.table("orders").select(F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 7).alias("n"))
+    events = lib.table("events").select((-F.col("event_id") - 1).alias("position"), F.concat(F.lit("Brand#"), F.col("event_id") % 30).alias("name"), (F.col("event_id") % 9).alias("n"))
+    log = orders.unionByName(events).select(F.lit(None).cast("long").alias("id"), "name", "position", F.lit(0).alias("order"), color.alias("color_rgb"))
+    return tables.upsert_tags(lib.tag, log, "position").select("id", "name", "order", "color_rgb")
+
+
 @query("m8_delete_images", "img img_tag", "SELECT id, (SELECT count(*) FROM img_tag WHERE image_id = id) AS links FROM img WHERE id NOT IN (SELECT doc_id FROM documents)")
 def _(lib):
     images, links = tables.delete_images(lib.img, lib.img_tag, lib.table("documents").select(F.col("doc_id").alias("id")))

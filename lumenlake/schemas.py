@@ -1,23 +1,8 @@
-"""Schemas of the library tables and of the backup document, as DDL."""
+"""Schema of the backup document, as DDL."""
 
 from __future__ import annotations
 
-IMAGE = (
-    "id long, original_file_name string, file_size long, hash string, extension string, imported_at timestamp_ntz, "
-    "modification_date timestamp_ntz, size_width int, size_height int, vector_id string, text_in_image string"
-)
-TAG = "id long, name string, description string, enabled boolean, color_rgb string, `order` int"
-LINK = "image_id long, tag_id long"
-VECTOR = (
-    "vector_id string, vector array<float>, image_filename string, model_hash string, image_id long, "
-    "extraction_timestamp double, image_width int, image_height int, custom map<string,string>"
-)
-BLOB = "hash string, extension string, path string"
-
-# Backup entries; every value is read as text and judged by the rules of the source.
-IMAGE_ENTRY = "path string, hash string, imported_at string, modification_date string, tags array<string>, text_in_image string"
-TAG_ENTRY = "name string, rgb string, `order` string, description string, enabled string"
-BACKUP = (
-    "format_version string, hash_algorithm string, exported_at string, "
-    f"images array<struct<{IMAGE_ENTRY}>>, tags array<struct<{TAG_ENTRY}>>"
-)
+# Values keep their JSON kind until the rules of the source have judged them.
+BACKUP = "format_version variant, hash_algorithm variant, exported_at variant, images variant, tags variant"
+FORMAT_VERSION = 1
+HASH_ALGORITHM = "sha1"

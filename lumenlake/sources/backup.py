@@ -4,107 +4,182 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.names import from_iso8601, is_hash, is_rgb, is_set_path
 from lumenlake.operators.ordering import first_per_key, skew_safe_lookup, with_global_index
 from lumenlake.operators.tables import require_none
-from lumenlake.schemas import BACKUP, IMAGE_ENTRY, TAG_ENTRY
+from lumenlake.schemas import BACKUP, FORMAT_VERSION, HASH_ALGORITHM
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """A backup JSON document as one row of nested columns."""
+    """A backup JSON document as one row of variant columns."""
     return spark.read.schema(BACKUP).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _records(document: DataFrame, field: str) -> DataFrame:
+    return document.select(F.posexplode(F.col(field).cast("array<variant>")).alias("position", "record"))
+
+
 def document_images(document: DataFrame) -> DataFrame:
-    """Image records with their position in the document."""
-    return document.select(F.posexplode("images").alias("position", "r")).select("position", "r.*")
+    """(position, record) of each entry of `images`, whatever it is."""
+    return _records(document, "images")
 
 
 def document_tags(document: DataFrame) -> DataFrame:
-    return document.select(F.posexplode("tags").alias("position", "r")).select("position", "r.*")
+    return _records(document, "tags")
+
+
+def _kind(value: Column) -> Column:
+    """JSON kind of a variant: STRING, BIGINT, BOOLEAN, VOID (null), ARRAY<...>, OBJECT<...>; null where there is no value."""
+    return F.schema_of_variant(value)
+
+
+def _is(value: Column, kind: str) -> Column:
+    """Whether there is a value of this kind."""
+    return F.coalesce(_kind(value).startswith(kind), F.lit(False))
+
+
+def _field(name: str) -> Column:
+    return F.try_variant_get("record", f"$.{name}", "variant")
+
+
+def _text(name: str) -> Column:
+    """The field if it is a string, else null."""
+    return F.when(_is(_field(name), "STRING"), F.try_variant_get("record", f"$.{name}", "string"))
+
+
+def _optional_text(name: str) -> Column:
+    """Whether the field is a string, null or left out."""
+    return F.coalesce(_kind(_field(name)).isin("STRING", "VOID"), F.lit(True))
 
 
-def header_problems(document: DataFrame) -> DataFrame:
-    """Broken rules of the document itself."""
+def _no(rule: Column) -> Column:
+    return ~F.coalesce(rule, F.lit(False))
+
+
+def header_problems(document: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(columns named in `carry`, problem): broken rules of the document itself, by value and JSON kind."""
+    version, algorithm = F.col("format_version"), F.col("hash_algorithm")
     checks = F.array(
-        F.when(~F.coalesce(F.col("format_version") == "1", F.lit(False)), F.lit("format_version")),
-        F.when(~F.coalesce(F.col("hash_algorithm") == "sha1", F.lit(False)), F.lit("hash_algorithm")),
-        F.when(F.col("images").isNull(), F.lit("images")),
-        F.when(F.col("tags").isNull(), F.lit("tags")),
+        F.when(_no(_is(version, "BIGINT") & (F.try_variant_get(version, "$", "long") == FORMAT_VERSION)), F.lit("format_version")),
+        F.when(_no(_is(algorithm, "STRING") & (F.try_variant_get(algorithm, "$", "string") == HASH_ALGORITHM)), F.lit("hash_algorithm")),
+        F.when(_no(_is(F.col("images"), "ARRAY")), F.lit("images")),
+        F.when(_no(_is(F.col("tags"), "ARRAY")), F.lit("tags")),
     )
-    return document.select(F.explode(F.array_compact(checks)).alias("problem"))
+    return document.select(*carry, F.explode(F.array_compact(checks)).alias("problem"))
+
+
+def first_set_problems(records: DataFrame, paths: DataFrame) -> DataFrame:
+    """(problem): `set_1` where there are image records but `paths` (path, relative to the backup) has no file of the first set."""
+    some = records.limit(1).select(F.lit("set_1").alias("problem"))
+    found = paths.where(F.col("path").startswith("set_1/")).limit(1).select(F.lit("set_1").alias("problem"))
+    return some.join(found, "problem", "left_anti")
 
 
 def image_problems(records: DataFrame, zone: str = "UTC") -> DataFrame:
-    """(position, problem): the first broken rule of each bad image record."""
+    """(position, problem): the first broken rule of each bad image record, by value and JSON kind."""
+    tags = F.try_variant_get("record", "$.tags", "array<variant>")
     problem = (
-        F.when(~F.coalesce(is_set_path("path"), F.lit(False)), F.lit("path"))
-        .when(~F.coalesce(is_hash("hash"), F.lit(False)), F.lit("hash"))
-        .when(F.col("tags").isNull() | F.exists("tags", lambda t: t.isNull()), F.lit("tags"))
-        .when(from_iso8601("imported_at", zone).isNull(), F.lit("imported_at"))
-        .when(from_iso8601("modification_date", zone).isNull(), F.lit("modification_date"))
+        F.when(_no(_is(F.col("record"), "OBJECT")), F.lit("record"))
+        .when(_no(is_set_path(_text("path"))), F.lit("path"))
+        .when(_no(is_hash(_text("hash"))), F.lit("hash"))
+        .when(~_optional_text("text_in_image"), F.lit("text_in_image"))
+        .when(_no(_is(_field("tags"), "ARRAY")) | _no(F.forall(tags, lambda t: _is(t, "STRING"))), F.lit("tags"))
+        .when(from_iso8601(_text("imported_at"), zone).isNull(), F.lit("imported_at"))
+        .when(from_iso8601(_text("modification_date"), zone).isNull(), F.lit("modification_date"))
     )
     return records.select("position", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def _named_tags(records: DataFrame) -> DataFrame:
+    """Tag records with their name; of a name only the first, of records without a name all."""
+    named = records.withColumn("name", _text("name"))
+    key = F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.col("position").cast("string"))
+    return first_per_key(named.withColumn("_none", key), ["name", "_none"], ["position"]).drop("_none")
+
+
 def tag_problems(records: DataFrame) -> DataFrame:
     """(position, problem): the first broken rule of each bad tag record; repeats of a name are not judged."""
+    order = F.try_variant_get("record", "$.order", "long")
     problem = (
-        F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.lit("name"))
-        .when(~F.coalesce(is_rgb("rgb"), F.lit(False)), F.lit("rgb"))
-        .when(~F.coalesce(F.col("order").rlike("^[0-9]+$"), F.lit(False)), F.lit("order"))
-        .when(~F.coalesce(F.col("enabled").isin("true", "false"), F.lit(False)), F.lit("enabled"))
+        F.when(_no(_is(F.col("record"), "OBJECT")), F.lit("record"))
+        .when(F.coalesce(F.col("name"), F.lit("")) == "", F.lit("name"))
+        .when(_no(is_rgb(_text("rgb"))), F.lit("rgb"))
+        .when(_no(_is(_field("order"), "BIGINT") & (order >= 0)), F.lit("order"))
+        .when(_no(_is(_field("enabled"), "BOOLEAN")), F.lit("enabled"))
+        .when(~_optional_text("description"), F.lit("description"))
     )
-    judged = first_per_key(records, ["name"], ["position"])
-    return judged.select("position", problem.alias("problem")).where("problem IS NOT NULL")
+    return _named_tags(records).select("position", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def checked_backup(records: DataFrame, tag_records: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """(images, tags) of backup records; any broken rule rejects all of them."""
+def checked_backup(records: DataFrame, tag_records: DataFrame, zone: str = "UTC", paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, tags) of backup records (position, record); any broken rule rejects all of them.
+
+    With `paths`, the files beside the backup, images without a first set are rejected too.
+    """
     require_none(image_problems(records, zone), "backup images rejected")
     require_none(tag_problems(tag_records), "backup tags rejected")
+    if paths is not None:
+        require_none(first_set_problems(records, paths), "backup rejected")
     images = records.select(
-        "position", "path",
-        F.lower("hash").alias("hash"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("original_file_name"),
-        from_iso8601("imported_at", zone).alias("imported_at"),
-        from_iso8601("modification_date", zone).alias("modification_date"),
-        "text_in_image",
-        F.array_distinct("tags").alias("tag_names"),
+        "position", _text("path").alias("path"),
+        F.lower(_text("hash")).alias("hash"),
+        F.regexp_extract(_text("path"), "([^/]+)$", 1).alias("original_file_name"),
+        from_iso8601(_text("imported_at"), zone).alias("imported_at"),
+        from_iso8601(_text("modification_date"), zone).alias("modification_date"),
+        _text("text_in_image").alias("text_in_image"),
+        F.array_distinct(F.try_variant_get("record", "$.tags", "array<string>")).alias("tag_names"),
     )
-    tags = first_per_key(tag_records, ["name"], ["position"]).select(
-        "position", "name", F.col("rgb").alias("color_rgb"), F.col("order").cast("int").alias("order"), "description",
-        F.col("enabled").cast("boolean").alias("enabled"),
+    tags = _named_tags(tag_records).select(
+        "position", "name", _text("rgb").alias("color_rgb"), F.try_variant_get("record", "$.order", "int").alias("order"),
+        _text("description").alias("description"), F.try_variant_get("record", "$.enabled", "boolean").alias("enabled"),
     )
     return images, tags
 
 
-def read_backup(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+def preflight(document: DataFrame, paths: DataFrame) -> None:
+    """Abort on a document with images but without a first set of files."""
+    require_none(first_set_problems(document_images(document.where(_is(F.col("images"), "ARRAY"))), paths), "backup rejected")
+
+
+def read_backup(spark: SparkSession, path: str, zone: str = "UTC", paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(images, tags) of a backup that is one JSON document."""
     document = read_document(spark, path)
     require_none(header_problems(document), "backup rejected")
-    return checked_backup(document_images(document), document_tags(document), zone)
+    return checked_backup(document_images(document), document_tags(document), zone, paths)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, record) of a table of `write_backup`."""
+    lines = spark.read.option("singleVariantColumn", "record").option("recursiveFileLookup", True).json(path)
+    return lines.select(F.try_variant_get("record", "$.position", "long").alias("position"), "record")
 
 
-def read_backup_tables(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """(images, tags) of a backup written by `write_backup`; the entries are read in parallel."""
-    images = spark.read.schema(IMAGE_ENTRY).option("recursiveFileLookup", True).json(f"{path}/images")
-    tags = spark.read.schema(TAG_ENTRY).json(f"{path}/tags")
-    # Paths are unique, and so are tag names: either gives the entries an order.
-    return checked_backup(images.withColumn("position", F.col("path")), tags.withColumn("position", F.col("name")), zone)
+def read_backup_tables(spark: SparkSession, path: str, zone: str = "UTC", paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, tags) of a backup written by `write_backup`; the entries are read in parallel, with the positions they had."""
+    header = spark.read.schema(BACKUP).json(f"{path}/header")
+    require_none(header_problems(header), "backup rejected")
+    return checked_backup(_lines(spark, f"{path}/images"), _lines(spark, f"{path}/tags"), zone, paths)
 
 
-def write_backup(entries: DataFrame, tags: DataFrame, path: str) -> None:
-    """Backup entries as JSON lines, images partitioned by set, tags beside them.
+def write_backup(entries: DataFrame, tags: DataFrame, path: str, exported_at: str) -> None:
+    """Backup entries as JSON lines, images partitioned by set, tags and the header beside them.
 
     A single document would have to pass through one task; the entries keep the
-    document's fields, so any part can be put into one.
+    document's fields and their `position` in it, so the parts can be put into one.
+    Images are numbered by set and path, tags as `tags` numbers them.
     """
-    entries.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("set_index").json(f"{path}/images")
+    spark = entries.sparkSession
+    placed = with_global_index(entries, ["set_index", "path"], "position", 0)
+    placed.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("set_index").json(f"{path}/images")
     tags.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/tags")
+    header = spark.range(1).select(
+        F.lit(FORMAT_VERSION).alias("format_version"), F.lit(HASH_ALGORITHM).alias("hash_algorithm"), F.lit(exported_at).alias("exported_at"),
+        # Kinds only: the entries lie beside the header.
+        F.array().cast("array<string>").alias("images"), F.array().cast("array<string>").alias("tags"))
+    header.write.mode("overwrite").json(f"{path}/header")
 
 
 def wide_curves(ranked: DataFrame, value: str, prefix: str, top_k: int) -> DataFrame:

@@ -180,12 +180,52 @@ def test_backup_document(spark, tmp_path):
     row = images.first()
     assert (row["hash"], row["tag_names"], row["imported_at"]) == ("a" * 40, ["b", "a"], dt.datetime(2025, 12, 31, 16))
     assert [r["name"] for r in tags.collect()] == ["a"]
-    for change in (dict(format_version=2), dict(images=[dict(entry, hash="x")]), dict(tags=[dict(tag, order=-1)]), dict(images=[dict(entry, path="set_1/../x")])):
+    bad = [
+        dict(format_version=2), dict(format_version="1"), dict(format_version=True), dict(hash_algorithm="md5"), dict(images={}), dict(tags=None),
+        dict(images=[dict(entry, hash="x")]), dict(images=[dict(entry, path="set_1/../x")]), dict(images=[dict(entry, text_in_image=5)]),
+        dict(images=[dict(entry, tags=["a", 1])]), dict(images=["x"]), dict(tags=[dict(tag, order=-1)]), dict(tags=[dict(tag, order="7")]),
+        dict(tags=[dict(tag, order=True)]), dict(tags=[dict(tag, enabled="true")]), dict(tags=[dict(tag, description=3)]), dict(tags=[dict(tag, name=3)]),
+    ]
+    for change in bad:
         path.write_text(json.dumps({**document, **change}))
         with pytest.raises(ValueError):
             backup.read_backup(spark, str(path))
 
 
+def test_images_need_the_first_set(spark, tmp_path):
+    entry = {"path": "set_1/x.png", "hash": "a" * 40, "imported_at": "2026-01-01T00:00:00", "modification_date": "2026-01-02T00:00:00", "tags": []}
+    document = {"format_version": 1, "hash_algorithm": "sha1", "images": [entry], "tags": []}
+    path = tmp_path / "backup.json"
+    path.write_text(json.dumps(document))
+    there, missing = (spark.createDataFrame([(p,)], "path string") for p in ("set_1/x.png", "set_10/x.png"))
+    assert backup.read_backup(spark, str(path), paths=there)[0].count() == 1
+    with pytest.raises(ValueError, match="set_1"):
+        backup.read_backup(spark, str(path), paths=missing)
+    with pytest.raises(ValueError, match="set_1"):
+        backup.preflight(backup.read_document(spark, str(path)), missing)
+    path.write_text(json.dumps({**document, "images": []}))
+    backup.preflight(backup.read_document(spark, str(path)), missing)
+    assert backup.read_backup(spark, str(path), paths=missing)[0].count() == 0
+
+
+def test_written_backup_keeps_header_and_positions(spark, tmp_path):
+    day = dt.datetime(2026, 1, 1)
+    names = [f"n{i:02}.png" for i in range(23)]
+    planned = export.assign_sets(spark.createDataFrame(
+        [(i, n, f"{i:040x}", day, day, [], None) for i, n in enumerate(names)],
+        "id long, original_file_name string, hash string, imported_at timestamp_ntz, modification_date timestamp_ntz, tag_names array<string>, text_in_image string",
+    ), max_files_per_set=2)
+    tags = spark.createDataFrame([(2, "b", 1), (1, "a", 1), (3, "z", 0)], "id long, name string, order int").selectExpr(
+        "*", "'#000000' AS color_rgb", "string(null) AS description", "true AS enabled")
+    backup.write_backup(export.image_entries(planned), export.tag_entries(tags), str(tmp_path / "b"), "2026-01-01T00:00:00Z")
+    images, read_tags = backup.read_backup_tables(spark, str(tmp_path / "b"))
+    shown = [r["path"] for r in images.orderBy("position").collect()]
+    assert shown == sorted(shown, key=lambda p: (int(p.split("/")[0][4:]), p)) and len(shown) == 23
+    assert [r["name"] for r in read_tags.orderBy("position").collect()] == ["z", "a", "b"]
+    header = json.loads(next((tmp_path / "b" / "header").glob("*.json")).read_text())
+    assert (header["format_version"], header["hash_algorithm"], header["exported_at"]) == (1, "sha1", "2026-01-01T00:00:00Z")
+
+
 def test_large_clusters_go_on_in_parts(spark):
     rows = [(0.3, "a", 5, m) for m in (9, 1, 10, 4, 7)] + [(0.3, "b", 2, 3), (0.3, "b", 2, 2), (0.4, "a", 1, 8)]
     lists = backup.cluster_lists(spark.createDataFrame(rows, "threshold double, cluster_id string, size long, member_id long"), part_members=2)
@@ -226,8 +266,45 @@ def test_enrichment_isolates_failures(spark):
     assert {i for i, v in got.items() if v[2] == "batch"} == {7, 8, 9} and got[7][1] == "RuntimeError: seven"
     summary = enrich.job_summary(enrich.run_stages(rows, "id", "n", stages, "long")).first()
     assert (summary["completed"], summary["succeeded"], summary["failed"]) == (10, 6, 4)
+
+
+def test_enrichment_contract(spark):
+    rows = spark.createDataFrame([(1, 2**60 + 1), (2, None), (3, 5)], "id long, n long").coalesce(1)
+
+    def check(n):
+        if n == 5:
+            raise KeyError
+        return f"{type(n).__name__} {n}"
+
+    got = {r["id"]: (r["value"], r["error"]) for r in enrich.run_stages(rows, "id", "n", [enrich.ItemStage("check", check)], "string").collect()}
+    assert got == {1: (f"int {2**60 + 1}", None), 2: ("NoneType None", None), 3: (None, "KeyError")}
     short = [enrich.BatchStage("short", lambda v: v[1:], batch_size=5)]
-    assert enrich.run_stages(rows, "id", "n", short, "long").where("error IS NULL").count() == 0
+    with pytest.raises(Exception, match="stage short: 2 results for 3 values"):
+        enrich.run_stages(rows, "id", "n", short, "long").collect()
+
+
+def test_repeated_changes(spark):
+    table = spark.createDataFrame([(1, "a.png", ".png", dt.datetime(2026, 1, 1)), (2, "b.png", ".png", None)],
+                                  "id long, original_file_name string, extension string, modification_date timestamp_ntz")
+    log = [(1, "x.png", None, 1), (1, None, dt.datetime(2026, 2, 2), 2), (1, "y.png", None, 3), (9, "z.png", None, 4)]
+    change = spark.createDataFrame(log, "id long, original_file_name string, modification_date timestamp_ntz, position long")
+    # Row by row, as a log is played back.
+    want = {1: ["a.png", dt.datetime(2026, 1, 1)], 2: ["b.png", None]}
+    for i, name, day, _ in log:
+        if i in want:
+            want[i] = [name or want[i][0], day or want[i][1]]
+    got = {r["id"]: [r["original_file_name"], r["modification_date"]] for r in tables.update_file_properties(table, change, "position").collect()}
+    assert got == want
+    links = spark.createDataFrame([(1, 5), (2, 6)], "image_id long, tag_id long")
+    rows = change.withColumn("extension", F.lit(".png"))
+    sets = spark.createDataFrame([(1, 7, 1), (1, 8, 3), (1, 9, 3)], "image_id long, tag_id long, position long")
+    images, kept = tables.overwrite_images(table, links, rows, sets, "position")
+    assert sorted((r["id"], r["original_file_name"]) for r in images.collect()) == [(1, "y.png"), (2, "b.png")]
+    assert sorted(map(tuple, kept.select("image_id", "tag_id").collect())) == [(1, 8), (1, 9), (2, 6)]
+    for call in (lambda: tables.update_file_properties(table, change), lambda: tables.overwrite_images(table, links, rows, sets),
+                 lambda: tables.update_columns(table, change, ["original_file_name"])):
+        with pytest.raises(ValueError, match="repeated id"):
+            call()
 
 
 def test_streams_equal_one_batch(spark, tmp_path):
