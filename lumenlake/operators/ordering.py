@@ -166,12 +166,12 @@ def next_ids(images: DataFrame) -> DataFrame:
 
 
 def random_id(images: DataFrame, excluding: int | None = None, seed: int | None = None) -> DataFrame:
-    """One uniformly drawn id, null where there is none (E4): the one whose MD5 with the seed is smallest.
+    """One uniformly drawn id, no row where there is none (E4): the one whose MD5 with the seed is smallest.
 
     One partial aggregation and no sort; equal seeds draw equal ids.
     """
-    ids = images.select("id")
+    ids = images.select("id").where(F.col("id").isNotNull())
     if excluding is not None:
         ids = ids.where(F.col("id") != excluding)
     seed = random.randrange(1 << 62) if seed is None else seed
-    return ids.agg(F.min_by("id", F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary"))).alias("id"))
+    return ids.agg(F.min_by("id", F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary"))).alias("id")).where(F.col("id").isNotNull())

@@ -159,6 +159,17 @@ def with_tags(images: DataFrame, tags: DataFrame, links: DataFrame, fields: Sequ
     return joined.withColumn("tags", F.coalesce("tags", empty))
 
 
+def page_with_tags(shown: DataFrame, tags: DataFrame, links: DataFrame, fields: Sequence[str] = ("name",)) -> DataFrame:
+    """The images of a page, or of any other small selection, with their tags as from `with_tags`.
+
+    Only links of the shown images are combined: their ids are the side that Spark
+    may broadcast by its size, so the links are scanned and not shuffled. A repeated
+    image keeps its rows; one with a null id has no tags.
+    """
+    wanted = shown.select(F.col("id").alias("image_id"))
+    return with_tags(shown, tags, links.join(wanted, "image_id", "left_semi"), fields)
+
+
 def list_images(images: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
     """Full catalogue with tags attached (A1)."""
     return with_tags(images, tags, links, ("name", "enabled", "color_rgb"))

@@ -160,6 +160,16 @@ def _(lib):
     return tagged.select("id", F.array_join("tags.name", "|").alias("tags"), F.size("tags").cast("long").alias("n"))
 
 
+@query("c8_page_with_tags", "img tag img_tag", """,
+    p AS (SELECT id, file_size FROM img ORDER BY file_size, id LIMIT 100 OFFSET 300)
+    SELECT p.id, p.file_size, coalesce(string_agg(t.name, '|' ORDER BY t."order", t.id), '') AS tags
+    FROM p LEFT JOIN (SELECT DISTINCT * FROM img_tag) l ON l.image_id = p.id LEFT JOIN tag t ON t.id = l.tag_id GROUP BY p.id, p.file_size""")
+def _(lib):
+    shown = ordering.page(lib.img, "size", descending=False, offset=300, count=100)
+    tagged = search.page_with_tags(shown, lib.tag, lib.img_tag)
+    return tagged.select("id", "file_size", F.array_join("tags.name", "|").alias("tags"))
+
+
 @query("c10_vector_id_map", "vec img", "SELECT image_id, max(vector_id) AS vector_id FROM vec WHERE image_id IN (SELECT id FROM img) GROUP BY image_id")
 def _(lib):
     return search.vector_id_map(lib.vec, lib.img.select(F.col("id").alias("image_id")))

@@ -69,6 +69,22 @@ def test_tags_are_ordered_and_links_may_repeat(library):
     assert tags[2] == ["B", "A", '他说"好"'] and tags[5] == [] and tags[4] == ["C", "A"]
 
 
+def test_page_with_tags_reads_links_of_shown_images_only(library):
+    images, tags, links = library
+    shown = ordering.page(images, "name", offset=1, count=3)
+    whole = {r["id"]: r["tags"] for r in search.with_tags(*library).collect()}
+    paged = search.page_with_tags(shown, tags, links)
+    got = {r["id"]: r["tags"] for r in paged.collect()}
+    assert got == {r["id"]: whole[r["id"]] for r in shown.collect()} and len(got) == 3
+    joins = paged._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in joins
+    again = search.page_with_tags(shown.unionByName(shown).unionByName(shown.withColumn("id", F.lit(None).cast("long"))), tags, links)
+    counts = again.groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in counts} == {None: 3} | dict.fromkeys(got, 2)
+    assert all(r["tags"] == ([] if r["id"] is None else got[r["id"]]) for r in again.collect())
+    assert search.page_with_tags(shown.limit(0), tags, links).count() == 0
+
+
 def test_literal_percent_and_wildcards(spark):
     rows = spark.createDataFrame([(1, "进度 100% 完成"), (2, "进度 1000 完成"), (3, None), (4, "ÄB_c")], "id int, t string")
     found = lambda c: {r["id"] for r in rows.where(c).collect()}
