@@ -443,3 +443,12 @@ def _(lib):
     stream = lib.spark.readStream.schema(lib.srch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
     history_stream.start_history(stream, f"{folder}/history", keep=20).awaitTermination()
     return history_stream.stored_history(lib.spark, f"{folder}/history", keep=20).select("user_id", "position", "text")
+
+
+@query("g2_state_history", "srch", f"{_HISTORY} SELECT user_id, position, text FROM recent")
+def _(lib):
+    folder = _scratch(lib)
+    lib.srch.repartition(3, "event_id").write.parquet(f"{folder}/incoming")
+    stream = lib.spark.readStream.schema(lib.srch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+    history_stream.start_state_history(stream, f"{folder}/state", keep=20).awaitTermination()
+    return history_stream.state_history(lib.spark, f"{folder}/state").select("user_id", "position", "text")
