@@ -8,7 +8,7 @@ from lumenlake.functions import names
 from lumenlake.operators import enrich, export, history, ingest, maintain, merge
 from lumenlake.plans.registry import query
 from lumenlake.session import checkpoint_dir
-from lumenlake.sources import backup, files
+from lumenlake.sources import backup, document, files
 from lumenlake.streaming import history as history_stream
 from lumenlake.streaming import imports as import_stream
 
@@ -182,6 +182,18 @@ def _(lib):
     return images.select("path", "hash", "imported_at", "text_in_image", F.array_join("tag_names", ",").alias("tags"), "position")
 
 
+@query("a6_large_document", "txt", f""", {_SETS}
+    SELECT 'set_' || (set_index + 1) || '/' || original_file_name AS path, hash, TIMESTAMP '2026-01-02 03:04:05' AS imported_at, text_in_image,
+           row_number() OVER (ORDER BY set_index, 'set_' || (set_index + 1) || '/' || original_file_name) - 1 AS position FROM dealt""")
+def _(lib):
+    planned = export.assign_sets(_export_images(lib), max_files_per_set=10)
+    entries = export.image_entries(planned.withColumn("tag_names", F.array(F.lit("untagged"))))
+    folder = _scratch(lib)
+    document.write_document(entries, export.tag_entries(lib.tag.withColumn("description", F.lit(None).cast("string"))), folder, "2026-01-02T03:04:05Z")
+    images, _ = backup.read_backup(lib.spark, folder, paths=entries.select("path"))
+    return images.select("path", "hash", "imported_at", "text_in_image", "position")
+
+
 @query("e6_sorted_tag_names", "tag", """,
     asked AS (SELECT DISTINCT doc_id AS id, unnest(['Brand#' || (doc_id % 30), lang, 'Brand#3']) AS name FROM documents)
     SELECT a.id, string_agg(a.name, ',' ORDER BY t.id IS NULL, coalesce(t."order", 0), coalesce(t.id, 0), lower(a.name)) AS names

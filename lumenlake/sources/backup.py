@@ -11,6 +11,7 @@ from lumenlake.functions.names import from_iso8601, is_hash, is_rgb, is_set_path
 from lumenlake.operators.ordering import first_per_key, skew_safe_lookup, with_global_index
 from lumenlake.operators.tables import require_none
 from lumenlake.schemas import BACKUP, FORMAT_VERSION, HASH_ALGORITHM
+from lumenlake.sources.document import split_document
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
@@ -145,10 +146,10 @@ def preflight(document: DataFrame, paths: DataFrame) -> None:
 
 
 def read_backup(spark: SparkSession, path: str, zone: str = "UTC", paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(images, tags) of a backup that is one JSON document."""
-    document = read_document(spark, path)
-    require_none(header_problems(document), "backup rejected")
-    return checked_backup(document_images(document), document_tags(document), zone, paths)
+    """(images, tags) of a backup that is one JSON document, read in parts by many tasks."""
+    document = split_document(spark, path)
+    require_none(header_problems(document.header), "backup rejected")
+    return checked_backup(document.images, document.tags, zone, paths)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
