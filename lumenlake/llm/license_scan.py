@@ -122,13 +122,16 @@ def _sql_canonical(text: str) -> str:
 
 SQL = f"""
 WITH k(license, raw) AS (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, given in KNOWN.items() for t in given)}),
-known AS (SELECT {_sql_canonical("raw")} AS form, min(license) AS license FROM k GROUP BY 1),
+ready(license, digest) AS (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(d)})" for n, d, _, _ in WHOLE)}),
+known AS (
+  SELECT digest, min(license) AS license
+  FROM (SELECT license, sha256({_sql_canonical("raw")}) AS digest FROM k UNION ALL SELECT license, digest FROM ready) GROUP BY 1),
 g AS (
   SELECT doc_id, true AS whole, coalesce(text, '') AS part FROM documents
   UNION ALL SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
   UNION ALL SELECT doc_id, false, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) FROM documents),
 f AS (
   SELECT doc_id, min(license) FILTER (WHERE whole) AS license, list_sort(list(DISTINCT license) FILTER (WHERE NOT whole)) AS notices
-  FROM (SELECT doc_id, whole, {_sql_canonical("part")} AS form FROM g) JOIN known USING (form) GROUP BY doc_id)
+  FROM (SELECT doc_id, whole, sha256({_sql_canonical("part")}) AS digest FROM g) JOIN known USING (digest) GROUP BY doc_id)
 SELECT doc_id, license, coalesce(notices, []) AS notices FROM documents LEFT JOIN f USING (doc_id)
 """

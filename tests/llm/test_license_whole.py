@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 from lumenlake.llm import license_scan
@@ -27,3 +28,15 @@ def test_titles(spark):
     mit, isc = (license_scan.KNOWN[n][-1].split("\n\n", 1)[1] for n in ("MIT", "ISC"))
     holder = "Copyright (c) 2020 A. Body\n\n"
     assert found(spark, [f"The MIT License (MIT)\n\n{holder}{mit}", holder + mit, holder + isc]) == ["MIT", "MIT", "ISC"]
+
+
+def test_sql_knows_the_stored_digests(spark):
+    mit, isc = (license_scan.KNOWN[n][-1].split("\n\n", 1)[1] for n in ("MIT", "ISC"))
+    texts = [mit, isc, f"The MIT License (MIT)\n\n{mit}", mit + " And more.", "Licensed under the MIT License.\n\n" + isc, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.license, list(r.notices)) for r in license_scan.scan(docs, license_scan.known_licenses(spark)).orderBy("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == con.execute(license_scan.SQL + " ORDER BY doc_id").fetchall()
+    assert got[0][1] == "MIT"
