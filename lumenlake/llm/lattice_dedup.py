@@ -89,6 +89,12 @@ def cells(units: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.n
     return np.concatenate(keys, axis=1).view(np.int64)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Powers of two are taken out first, so no square over- or underflows and no digit changes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the cells of each vector; vectors of one size are worked on together."""
     for batch in batches:
@@ -100,7 +106,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(lengths == size)
             raw = flat[starts[rows][:, None] + np.arange(size)]
             x = raw.astype(np.float64)
-            units = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            units = _units(x)
             keys = cells(units)
             where = pa.array(rows)
             yield pa.RecordBatch.from_arrays([
@@ -124,7 +130,7 @@ def _compare(cosine: float, dtype: str):
         def group(rows: pa.Table) -> pa.RecordBatch | None:
             nid, copies = rows["nid"].to_numpy(), rows["copies"].to_numpy()
             x = np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype).reshape(len(nid), -1).astype(np.float64)
-            units = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            units = _units(x)
             keys = np.array(rows["cells"].to_pylist(), np.int64)
             cell, side = rows["cell"][0].as_py(), rows["side"].to_numpy()
             left = np.flatnonzero(side == 0)
