@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import byte_rows, discard, stored
 from lumenlake.llm.window_hash import hashes, mix, prefix_sums, sliding_min, window_values
+from lumenlake.operators.ordering import skew_safe_lookup
 
 WIDTH = 200
 # Digit depths of the passes before the last one.
@@ -140,18 +141,19 @@ def _remove(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _pass(parts: DataFrame, depth: int, width: int, scratch: list[str]) -> DataFrame:
     """Runs whose digit occurs more than once, with `repeated` (the whole run) and `open` (goes on)."""
     runs = parts.mapInArrow(_runs(depth, width), _RUNS)
-    # Counted with partial sums before the shuffle; a hot digit is one row per task there.
-    shared = runs.groupBy("digit").count().where("count > 1").select("digit")
-    if depth == width:
-        return runs.join(shared, "digit").select(*_PART, "start", "n", F.lit(True).alias("repeated"), F.lit(False).alias("open"))
-    alike = stored(runs.join(shared, "digit"), scratch)
     name = F.xxhash64(*_KEY, "start")
-    strings = alike.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(name).alias("first"))
-    mixed = strings.groupBy("digit").agg(F.count(F.lit(1)).alias("strings"))
-    judged = strings.join(mixed.where("strings > 1"), "digit", "left")
-    several = F.col("strings").isNotNull()
+    # Counted with partial sums before the shuffle; a hot digit is one row per task there and split in the joins.
+    shared = stored(runs.groupBy("digit").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), scratch)
+    alike = skew_safe_lookup(runs, shared.select("digit"), ["digit"], name, shared, "rows")
+    if depth == width:
+        return alike.select(*_PART, "start", "n", F.lit(True).alias("repeated"), F.lit(False).alias("open"))
+    alike = stored(alike, scratch)
+    strings = stored(alike.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(name).alias("first")), scratch)
+    mixed = stored(strings.groupBy("digit").agg(F.count(F.lit(1)).alias("strings")), scratch)
+    judged = skew_safe_lookup(strings, mixed, ["digit"], "whole", mixed, "strings")
+    several = F.col("strings") > 1
     return stored(
-        alike.join(judged, ["digit", "whole"]).select(
+        skew_safe_lookup(alike, judged, ["digit", "whole"], name, strings, "copies").select(
             *_PART, "start", "n", (F.col("copies") > 1).alias("repeated"),
             (several & ((F.col("copies") == 1) | (name == F.col("first")))).alias("open"),
         ), scratch)

@@ -296,3 +296,19 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 300), (5, 5), (None, 3), (300, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_remove_repeats_with_a_passage_that_most_texts_hold(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcd") for _ in range(260))
+    other = "".join(rng.choice("efgh") for _ in range(230))
+    texts = [f"{i} " + passage + "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + (other if i % 9 == 0 else "") for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(suffix_dedup.remove_repeats(df).drop("kept").collect())
+    assert got == collections.Counter((i, *r) for i, r in enumerate(plain_repeats(texts, 200)))
+
+
+def test_embeddings_of_any_scale(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 0.0]), (4, [3e200, 1.0]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308])]
+    got = lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5)]
