@@ -143,19 +143,16 @@ def _pass(parts: DataFrame, depth: int, width: int, scratch: list[str]) -> DataF
     runs = parts.mapInArrow(_runs(depth, width), _RUNS)
     name = F.xxhash64(*_KEY, "start")
     # Counted with partial sums before the shuffle; a hot digit is one row per task there and split in the joins.
-    shared = stored(runs.groupBy("digit").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), scratch)
-    alike = skew_safe_lookup(runs, shared.select("digit"), ["digit"], name, shared, "rows")
+    shared = stored(runs.groupBy("digit").agg(F.count(F.lit(1)).alias("rows"), (F.min("whole") < F.max("whole")).alias("several")).where("rows > 1"), scratch)
+    alike = skew_safe_lookup(runs, shared.select("digit", "several"), ["digit"], name, shared, "rows")
     if depth == width:
         return alike.select(*_PART, "start", "n", F.lit(True).alias("repeated"), F.lit(False).alias("open"))
     alike = stored(alike, scratch)
     strings = stored(alike.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(name).alias("first")), scratch)
-    mixed = stored(strings.groupBy("digit").agg(F.count(F.lit(1)).alias("strings")), scratch)
-    judged = skew_safe_lookup(strings, mixed, ["digit"], "whole", mixed, "strings")
-    several = F.col("strings") > 1
     return stored(
-        skew_safe_lookup(alike, judged, ["digit", "whole"], name, strings, "copies").select(
+        skew_safe_lookup(alike, strings, ["digit", "whole"], name, strings, "copies").select(
             *_PART, "start", "n", (F.col("copies") > 1).alias("repeated"),
-            (several & ((F.col("copies") == 1) | (name == F.col("first")))).alias("open"),
+            (F.col("several") & ((F.col("copies") == 1) | (name == F.col("first")))).alias("open"),
         ), scratch)
 
 
