@@ -176,7 +176,8 @@ def write_backup(entries: DataFrame, tags: DataFrame, path: str, exported_at: st
     placed = with_global_index(entries, ["set_index", "path"], "position", 0)
     placed.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("set_index").json(f"{path}/images")
     tags.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/tags")
-    header = spark.range(1).select(
+    # One partition: others would leave files without a row.
+    header = spark.range(0, 1, 1, 1).select(
         F.lit(FORMAT_VERSION).alias("format_version"), F.lit(HASH_ALGORITHM).alias("hash_algorithm"), F.lit(exported_at).alias("exported_at"),
         # Kinds only: the entries lie beside the header.
         F.array().cast("array<string>").alias("images"), F.array().cast("array<string>").alias("tags"))

@@ -226,6 +226,14 @@ def test_written_backup_keeps_header_and_positions(spark, tmp_path):
     assert (header["format_version"], header["hash_algorithm"], header["exported_at"]) == (1, "sha1", "2026-01-01T00:00:00Z")
 
 
+def test_backup_header_is_one_file_with_one_row(spark, tmp_path):
+    tags = spark.createDataFrame([("z", 0)], "name string, position long")
+    entries = spark.createDataFrame([(0, "set_1/a.png")], "set_index long, path string")
+    backup.write_backup(entries, tags, str(tmp_path / "b"), "2026-01-01T00:00:00Z")
+    parts = list((tmp_path / "b" / "header").glob("*.json"))
+    assert len(parts) == 1 and json.loads(parts[0].read_text())["format_version"] == 1
+
+
 def test_large_clusters_go_on_in_parts(spark):
     rows = [(0.3, "a", 5, m) for m in (9, 1, 10, 4, 7)] + [(0.3, "b", 2, 3), (0.3, "b", 2, 2), (0.4, "a", 1, 8)]
     lists = backup.cluster_lists(spark.createDataFrame(rows, "threshold double, cluster_id string, size long, member_id long"), part_members=2)
