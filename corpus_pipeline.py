@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash of five-word shingles, or their Jaccard similarity of 0.8 or more."""
     return shingle_dedup.keep_one(docs)
 
 

@@ -1,7 +1,10 @@
-"""Near-duplicates by word shingles: an exact set join on rare shingles, among documents that share a min-hash band.
+"""Near-duplicates by word shingles: SimHash, and an exact set join for the pairs that its few bits miss.
 
-A few differing bits of a SimHash say little about a similarity of 0.8, which most often
-leaves 4 to 14 of 64 bits apart. Here a text takes part if it agrees with any other on all
+Texts whose SimHash fingerprints differ in `simhash.BITS` or fewer bits are linked by the trie
+join of `simhash.py`; fingerprints count a shingle as often as it occurs. That finds
+texts that are nearly the same. A similarity of 0.8 most often leaves 4 to 14 of 64 bits
+apart, so an exact join of the sets of shingles on their rarest ones follows, among documents that
+share a min-hash band. There a text takes part if it agrees with any other on all
 `ROWS` minima of one of `BANDS` bands; at a similarity of 0.8 a pair escapes with
 probability (1 - 0.8^4)^32, less than 5 in 100 million. Bands form no pairs. Pairs come from
 an index of each text's rarest shingles: two sets of similarity s share one of the first
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import byte_rows, discard, stored
 from lumenlake.llm.components import components
-from lumenlake.llm.simhash import SEED, kept_rows, shingle_hashes
+from lumenlake.llm.simhash import SEED, fingerprint_of, kept_rows, links, shingle_hashes
 from lumenlake.operators.ordering import skew_safe_lookup
 
 WORDS = 5
@@ -72,21 +75,36 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, key, n, bands) of each whole text."""
+    """(doc_id, text_hash, key, print, n, bands) of each whole text; `print` is its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, bands = [], [], []
+            keys, prints, counts, bands = [], [], [], []
             for data in byte_rows(batch.column("data")):
-                shingles = shingle_set(data.tobytes(), size)
+                hashes = shingle_hashes(data.tobytes(), size)
+                shingles = np.unique(hashes)
+                prints.append(fingerprint_of(hashes))
                 keys.append(set_key(shingles))
                 counts.append(len(shingles))
                 bands.append(band_keys(shingles))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), _signed(bands)],
-                names=["doc_id", "text_hash", "key", "n", "bands"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.int64()),
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(counts, pa.int64()), _signed(bands)],
+                names=["doc_id", "text_hash", "key", "print", "n", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, print long, n long, bands array<long>")
+
+
+def _print_links(known: DataFrame, scratch: list[str]) -> DataFrame:
+    """(a, b): links that join the keys of `known` (key, print) exactly as all pairs of near fingerprints do."""
+    prints = stored(known.select("print").distinct(), scratch)
+    roots = components(links(prints, scratch), "a", "b")
+    named = stored(prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root")), scratch)
+    members = stored(known.select("key", "print").distinct().join(named, "print").select("key", "root").distinct(), scratch)
+    # One key of each group of fingerprints stands for it; the others are linked to that one.
+    hubs = stored(members.groupBy("root").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), scratch)
+    joined = skew_safe_lookup(members, hubs.select("root", "hub"), ["root"], "key", hubs, "rows")
+    return stored(joined.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), scratch)
 
 
 def _shingles(rows: DataFrame, size: int) -> DataFrame:
@@ -196,10 +214,11 @@ def keep_one(
 ) -> DataFrame:
     """The rows of `docs`, all columns, of which one document of each group of near-duplicates stays: the one with the smallest id.
 
-    Two documents are linked if the sets of their `size`-word shingles have a Jaccard
+    Two documents are linked if the SimHash fingerprints of their `size`-word shingles differ
+    in `simhash.BITS` or fewer bits, or if the sets of these shingles have a Jaccard
     similarity of `similarity` or more; links chain. A-Z are lower-cased, words end at
     ASCII blanks, texts without a word are alike. Null ids stay only where a group has no
-    other. Of rows that repeat both id and text one stays. Candidates come from bands
+    other. Of rows that repeat both id and text one stays. Candidates of the sets come from bands
     made for similarities of 0.8 and more; lower ones escape more often.
     """
     scratch: list[str] = []
@@ -214,7 +233,7 @@ def keep_one(
     rows = _rows(docs, id_col, text_col).alias("r").join(
         likely.alias("l"), F.expr("r.doc_id <=> l.doc_id AND r.text_hash = l.text_hash"), "left_semi")
     sets = stored(_shingles(rows, size).dropDuplicates(["key"]), scratch)
-    roots = components(_edges(sets, similarity, scratch), "a", "b")
+    roots = components(_print_links(known, scratch).unionByName(_edges(sets, similarity, scratch)), "a", "b")
     named = nodes.join(roots, nodes["key"] == roots["node"], "left").select(F.coalesce("root", "key").alias("root"), "first")
     first = stored(named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash"), [])
     discard(docs.sparkSession, scratch)

@@ -50,7 +50,12 @@ def shingle_hashes(data: bytes, size: int = WORDS) -> np.ndarray:
 
 def fingerprint(data: bytes, size: int = WORDS) -> int:
     """SimHash of a text's `size`-word shingles; 0 without a word."""
-    hashes = shingle_hashes(data, size).astype(">u8")
+    return fingerprint_of(shingle_hashes(data, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingles by their hashes, repeats included."""
+    hashes = hashes.astype(">u8")
     ones = np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[first:first + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lumenlake.llm import shingle_dedup
+from lumenlake.llm import shingle_dedup, simhash
 
 COLUMNS = "doc_id long, text string"
 
@@ -84,3 +84,16 @@ def test_awkward_rows(spark):
     got = shingle_dedup.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.key) for r in got.collect()) == [(0, "x"), (7, "x"), (8, "x"), (10, "x")]
+
+
+def test_near_fingerprints_are_linked_by_the_stage(spark):
+    """Texts that are the same passage over and over, with a few words of their own: near by SimHash, not as sets."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(21)] * 150
+    rows = [(i, " ".join(passage + [f"own{rng.randrange(10**9)}" for _ in range(40)])) for i in (4, 2, 9)]
+    rows += [(7, " ".join(f"other{i}" for i in range(80))), (8, None)]
+    prints = [simhash.fingerprint(t.encode(), shingle_dedup.WORDS) for _, t in rows[:3]]
+    assert all((prints[0] ^ p).bit_count() <= simhash.BITS for p in prints)
+    assert plain(rows) == [2, 4, 7, 8, 9]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8]
