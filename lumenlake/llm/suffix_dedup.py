@@ -140,14 +140,18 @@ def _remove(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _pass(parts: DataFrame, depth: int, width: int, scratch: list[str]) -> DataFrame:
     """Runs whose digit occurs more than once, with `repeated` (the whole run) and `open` (goes on)."""
-    runs = parts.mapInArrow(_runs(depth, width), _RUNS)
+    # Counted and joined: written, as hashing every place of a text again costs far more than reading its runs.
+    made: list[str] = []
+    runs = stored(parts.mapInArrow(_runs(depth, width), _RUNS), made)
     name = F.xxhash64(*_KEY, "start")
     # Counted with partial sums before the shuffle; a hot digit is one row per task there and split in the joins.
     shared = stored(runs.groupBy("digit").agg(F.count(F.lit(1)).alias("rows"), (F.min("whole") < F.max("whole")).alias("several")).where("rows > 1"), scratch)
     alike = skew_safe_lookup(runs, shared.select("digit", "several"), ["digit"], name, shared, "rows")
     if depth == width:
+        scratch += made
         return alike.select(*_PART, "start", "n", F.lit(True).alias("repeated"), F.lit(False).alias("open"))
     alike = stored(alike, scratch)
+    discard(parts.sparkSession, made)
     strings = stored(alike.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(name).alias("first")), scratch)
     return stored(
         skew_safe_lookup(alike, strings, ["digit", "whole"], name, strings, "copies").select(
