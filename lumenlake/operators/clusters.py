@@ -1,9 +1,17 @@
-"""Near-duplicate clusters over mutual neighbours."""
+"""Near-duplicate clusters over mutual neighbours.
+
+A hit crosses the cluster as one narrow row. Pairs meet in blocks of the table of
+all pairs, where those of a block touch few nodes; there they are reduced to a
+forest that joins the same nodes on every floor, so the rounds of the components
+work on a few pairs for each node, however many lie above a floor.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +19,104 @@ from lumenlake.operators.curve_stats import CLUSTER_FLOORS
 from lumenlake.operators.ordering import skew_safe_lookup, with_global_index
 from lumenlake.session import cut_lineage, drop_table, write_table
 
+# Hits of a block on average, and the fewest worth a task of their own.
+_BLOCK_HITS, _LEAST_HITS = 1 << 20, 1 << 14
+# Pairs reduced at once.
+_FOREST_ROWS = 1 << 18
 
-def mutual_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
-    """(threshold, a, b) with a < b: pairs that found each other at or above the floor, however often each is listed."""
+
+def _hits(ranked: DataFrame, floors: Sequence[float]) -> DataFrame:
+    """(query_id, candidate_id, level): hits that reach `level` of the floors, at least one."""
+    level = sum((F.col("sim") >= float(f)).cast("byte") for f in floors).cast("byte")
+    found = ranked.where((F.col("sim") >= min(floors)) & (F.col("query_id") != F.col("candidate_id")))
+    return found.select("query_id", "candidate_id", level.alias("level"))
+
+
+def _mutual(hits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(a, b, level) with a < b: pairs that found each other, by the floors both hits reach, however often each is listed."""
     forth = F.col("query_id") < F.col("candidate_id")
-    found = (
-        ranked.where((F.col("sim") >= min(floors)) & (F.col("query_id") != F.col("candidate_id")))
-        .groupBy(F.least("query_id", "candidate_id").alias("a"), F.greatest("query_id", "candidate_id").alias("b"))
-        .agg(F.max(F.when(forth, F.col("sim"))).alias("there"), F.max(F.when(~forth, F.col("sim"))).alias("back"))
+    return (
+        hits.groupBy(*keys, F.least("query_id", "candidate_id").alias("a"), F.greatest("query_id", "candidate_id").alias("b"))
+        .agg(F.max(F.when(forth, F.col("level"))).alias("there"), F.max(F.when(~forth, F.col("level"))).alias("back"))
         .where(F.col("there").isNotNull() & F.col("back").isNotNull())
+        .select("a", "b", F.least("there", "back").alias("level"))
     )
-    reached = F.filter(F.array(*[F.lit(float(f)) for f in floors]), lambda f: F.least("there", "back") >= f)
-    return found.select(F.explode(reached).alias("threshold"), "a", "b")
+
+
+def _by_floor(pairs: DataFrame, floors: Sequence[float]) -> DataFrame:
+    """(threshold, a, b): one row for each floor that a pair reaches."""
+    ascending = F.array(*[F.lit(float(f)) for f in sorted(floors)])
+    return pairs.select(F.explode(F.slice(ascending, F.lit(1), F.col("level").cast("int"))).alias("threshold"), "a", "b")
+
+
+def mutual_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
+    """(threshold, a, b) with a < b: pairs that found each other at or above the floor, however often each is listed."""
+    return _by_floor(_mutual(_hits(ranked, floors)), floors)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Positions of fewer pairs than nodes that join the same nodes at every level as all of them."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    first, second = ends[: len(a)], ends[len(a):]
+    root, kept = np.arange(len(nodes)), [np.empty(0, np.int64)]
+    for reached in np.unique(level)[::-1]:
+        at = np.flatnonzero(level == reached)
+        while True:
+            x, y = root[first[at]], root[second[at]]
+            at, low, high = at[x != y], np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+            if not len(at):
+                break
+            # Each root is hung on the smallest one that a pair leads to.
+            np.minimum.at(root, high, low)
+            by = np.flatnonzero(root[high] == low)
+            kept.append(at[by[np.unique(high[by], return_index=True)[1]]])
+            while (root[root] != root).any():
+                root = root[root]
+    return np.concatenate(kept)
+
+
+def _reduce_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (a, b, level) to a forest of all of them; no more than the forest and a few batches are held."""
+    held, kept = [], 0
+    for batch in batches:
+        held.append(batch)
+        if sum(part.num_rows for part in held) - kept > max(_FOREST_ROWS, kept):
+            held = _reduced(held)
+            kept = sum(part.num_rows for part in held)
+    yield from _reduced(held)
+
+
+def _reduced(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not held:
+        return []
+    table = pa.Table.from_batches(held)
+    kept = _forest(*(table.column(c).to_numpy() for c in ("a", "b", "level")))
+    return table.take(pa.array(kept)).combine_chunks().to_batches()
+
+
+def _sides(hits: int, tasks: int) -> int:
+    """Parts of the nodes, so that the blocks between two parts hold a bounded number of hits and use the cores."""
+    blocks = max(-(-hits // _BLOCK_HITS), min(2 * tasks, -(-hits // _LEAST_HITS)))
+    return max(1, int(np.ceil(((8 * blocks + 1) ** 0.5 - 1) / 2)))
+
+
+def reduced_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
+    """(threshold, a, b): the components of `mutual_pairs` from fewer pairs.
+
+    A part of the nodes is in as many blocks as there are parts, and a block gives
+    fewer pairs than it has nodes: all of them at most parts times nodes.
+    """
+    hits = _hits(ranked, floors)
+    sides = _sides(hits.count(), ranked.sparkSession.sparkContext.defaultParallelism)
+
+    def side(node: str):
+        return F.pmod(F.xxhash64(node), F.lit(sides)).cast("int")
+
+    low, high = F.least(side("query_id"), side("candidate_id")), F.greatest(side("query_id"), side("candidate_id"))
+    block = F.shiftright(high * (high + 1), 1) + low
+    # Hits stay in the order of queries on their way, so that a query is packed once for many of them.
+    placed = hits.withColumn("block", block).repartitionById(sides * (sides + 1) // 2, F.col("block"))
+    return _by_floor(_mutual(placed, ["block"]).mapInArrow(_reduce_pairs, "a long, b long, level byte"), floors)
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
@@ -34,10 +128,9 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     are bounded by the top-k of the search; only labels can become hot, so that
     lookup is split.
     """
-    edges = cut_lineage(
-        pairs.select("threshold", F.col("a").alias("node"), F.col("b").alias("other"))
-        .unionByName(pairs.select("threshold", F.col("b").alias("node"), F.col("a").alias("other")))
-    )
+    forth, back = (F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a")))
+    # Both directions from one pass over the pairs.
+    edges = cut_lineage(pairs.select("threshold", F.explode(F.array(forth, back)).alias("edge")).select("threshold", "edge.*"))
     spark = pairs.sparkSession
     labels, path = write_table(
         edges.groupBy("threshold", "node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
@@ -70,7 +163,7 @@ def near_duplicate_clusters(ranked: DataFrame, floors: Sequence[float] = CLUSTER
     `T0.80_00001`. Members stay separate rows, as a cluster may hold a large part
     of the library.
     """
-    labels = connected_components(mutual_pairs(ranked, floors))
+    labels = connected_components(reduced_pairs(ranked, floors))
     sizes = cut_lineage(labels.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("size")))
     numbered = with_global_index(sizes, [F.col("threshold"), F.col("size").desc(), F.col("label")], "_i")
     # At most one row per floor.
