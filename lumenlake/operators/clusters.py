@@ -100,23 +100,30 @@ def _sides(hits: int, tasks: int) -> int:
     return max(1, int(np.ceil(((8 * blocks + 1) ** 0.5 - 1) / 2)))
 
 
+def _in_blocks(pairs: DataFrame, first: str, second: str, sides: int) -> DataFrame:
+    """`pairs` with their block, one partition for each; a part of the nodes is in as many blocks as there are parts."""
+    sides_of = [F.pmod(F.xxhash64(node), F.lit(sides)).cast("int") for node in (first, second)]
+    low, high = F.least(*sides_of), F.greatest(*sides_of)
+    block = F.shiftright(high * (high + 1), 1) + low
+    return pairs.withColumn("block", block).repartitionById(sides * (sides + 1) // 2, F.col("block"))
+
+
 def reduced_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -> DataFrame:
     """(threshold, a, b): the components of `mutual_pairs` from fewer pairs.
 
-    A part of the nodes is in as many blocks as there are parts, and a block gives
-    fewer pairs than it has nodes: all of them at most parts times nodes.
+    A block gives fewer pairs than it has nodes: all blocks at most parts times
+    nodes. Those go through fewer and fuller blocks once more.
     """
+    schema = "a long, b long, level byte"
     hits = _hits(ranked, floors)
     sides = _sides(hits.count(), ranked.sparkSession.sparkContext.defaultParallelism)
-
-    def side(node: str):
-        return F.pmod(F.xxhash64(node), F.lit(sides)).cast("int")
-
-    low, high = F.least(side("query_id"), side("candidate_id")), F.greatest(side("query_id"), side("candidate_id"))
-    block = F.shiftright(high * (high + 1), 1) + low
     # Hits stay in the order of queries on their way, so that a query is packed once for many of them.
-    placed = hits.withColumn("block", block).repartitionById(sides * (sides + 1) // 2, F.col("block"))
-    return _by_floor(_mutual(placed, ["block"]).mapInArrow(_reduce_pairs, "a long, b long, level byte"), floors)
+    placed = _in_blocks(hits, "query_id", "candidate_id", sides)
+    pairs = cut_lineage(_mutual(placed, ["block"]).mapInArrow(_reduce_pairs, schema))
+    fewer = _sides(pairs.count(), 1)
+    if fewer < sides:
+        pairs = _in_blocks(pairs, "a", "b", fewer).select("a", "b", "level").mapInArrow(_reduce_pairs, schema)
+    return _by_floor(pairs, floors)
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
