@@ -112,7 +112,8 @@ def reduced_pairs(ranked: DataFrame, floors: Sequence[float] = CLUSTER_FLOORS) -
     """(threshold, a, b): the components of `mutual_pairs` from fewer pairs.
 
     A block gives fewer pairs than it has nodes: all blocks at most parts times
-    nodes. Those go through fewer and fuller blocks once more.
+    nodes. Those go through fewer and fuller blocks once more. `ranked` is read
+    twice, for the number of hits and for the hits.
     """
     schema = "a long, b long, level byte"
     hits = _hits(ranked, floors)
