@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.names import is_safe_name, rfc3339
@@ -10,7 +10,7 @@ from lumenlake.functions.text import collision_key, nfc
 from lumenlake.operators.ordering import skew_safe_lookup, with_global_index
 from lumenlake.operators.search import with_tags
 from lumenlake.operators.tables import require_none
-from lumenlake.session import cut_lineage
+from lumenlake.session import DROP_SHUFFLES, drop_table, held_conf, write_table
 
 MAX_FILES_PER_SET = 10_000
 
@@ -30,24 +30,33 @@ def assign_sets(images: DataFrame, max_files_per_set: int = MAX_FILES_PER_SET) -
 
     Sorted by (name group size desc, name key, name, hash, id) the images are dealt
     out in turn over max(1, ceil(n / cap), largest name group) sets; a name group
-    is never larger than the number of sets, so it never meets itself.
+    is never larger than the number of sets, so it never meets itself. Only names,
+    hashes and ids are sorted and written; the images meet their numbers in one join.
     """
     if max_files_per_set <= 0:
         raise ValueError("max_files_per_set must be positive")
     require_none(unsafe_names(images), "file names not fit for export")
-    named = cut_lineage(
-        images.withColumn("_key", collision_key("original_file_name"))
-        .withColumn("_name", nfc("original_file_name"))
-        .withColumn("_hash", F.lower("hash"))
-    )
-    sizes = cut_lineage(named.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")))
-    n, largest = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
-    sets = max(1, -(-n // max_files_per_set), largest)
-    sized = skew_safe_lookup(named, sizes, ["_key"], "id", sizes, "_size")
-    dealt = with_global_index(sized, [F.col("_size").desc(), "_key", "_name", "_hash", "id"], "_i", 0)
-    number = F.pmod(F.col("_i"), F.lit(sets).cast("long"))
+    spark = images.sparkSession
+    with held_conf(spark, DROP_SHUFFLES):
+        named, named_path = write_table(
+            images.select("id", "original_file_name", F.lower("hash").alias("_hash"))
+            .withColumn("_key", collision_key("original_file_name"))
+            .withColumn("_name", nfc("original_file_name"))
+        )
+        sizes, sizes_path = write_table(named.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")))
+        n, largest = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+        sets = max(1, -(-n // max_files_per_set), largest)
+        sized = skew_safe_lookup(named, sizes, ["_key"], "id", sizes, "_size")
+        dealt = with_global_index(sized, [F.col("_size").desc(), "_key", "_name", "_hash", "id"], "_i", 0)
+        drop_table(spark, named_path)
+        drop_table(spark, sizes_path)
+    # A struct also joins where the id is null; rows of one id take its numbers in the order of name and hash.
+    numbers = dealt.groupBy(F.struct("id").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("original_file_name", "_hash", "_i"))).alias("_numbers"))
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("original_file_name", F.lower("hash")))
+    numbered = images.withColumn("_row", F.struct("id")).withColumn("_place", place).join(numbers, "_row")
+    number = F.pmod(F.get("_numbers", F.col("_place") - 1)["_i"], F.lit(sets).cast("long"))
     path = F.concat(F.lit("set_"), (number + 1).cast("string"), F.lit("/"), F.col("original_file_name"))
-    return dealt.select(*images.columns, number.alias("set_index"), path.alias("relative_path"))
+    return numbered.select(*images.columns, number.alias("set_index"), path.alias("relative_path"))
 
 
 def ordered_tag_names(images: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
